@@ -9,7 +9,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, secret_scan, url_filter
+from . import bpe, langid, secret_scan, simhash, url_filter
 from .common import prepare
 
 #: Where the public tokenizer files are; another folder can be named in the environment.
@@ -32,6 +32,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_simhash(spark, sf_dir):
+    return simhash.report(table(spark, sf_dir, "documents"))
+
+
 def op4_bpe(spark, sf_dir):
     return bpe.encode_decode(table(spark, sf_dir, "documents"), vocabulary_path())
 
@@ -40,12 +44,16 @@ def op6_url_filter(spark, sf_dir):
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
 
+def op7_langid(spark, sf_dir):
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op9_secret_scan(spark, sf_dir):
     return secret_scan.report(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op4_bpe, op6_url_filter, op9_secret_scan)}
+    return {f.__name__: f for f in (op3_simhash, op4_bpe, op6_url_filter, op7_langid, op9_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
