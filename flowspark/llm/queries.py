@@ -9,7 +9,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, secret_scan, simhash, url_filter
+from . import bpe, html_extract, langid, secret_scan, simhash, url_filter
 from .common import prepare
 
 #: Where the public tokenizer files are; another folder can be named in the environment.
@@ -48,12 +48,16 @@ def op7_langid(spark, sf_dir):
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op8_html_extract(spark, sf_dir):
+    return html_extract.report(table(spark, sf_dir, "pages"))
+
+
 def op9_secret_scan(spark, sf_dir):
     return secret_scan.report(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_simhash, op4_bpe, op6_url_filter, op7_langid, op9_secret_scan)}
+    return {f.__name__: f for f in (op3_simhash, op4_bpe, op6_url_filter, op7_langid, op8_html_extract, op9_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
