@@ -9,7 +9,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, html_extract, langid, quality_rules, secret_scan, simhash, url_filter
+from . import bpe, html_extract, langid, pii, quality_rules, secret_scan, simhash, url_filter
 from .common import prepare
 
 #: Where the public tokenizer files are; another folder can be named in the environment.
@@ -36,6 +36,10 @@ def op1_quality(spark, sf_dir):
     return quality_rules.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_pii(spark, sf_dir):
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 def op3_simhash(spark, sf_dir):
     return simhash.report(table(spark, sf_dir, "documents"))
 
@@ -61,7 +65,7 @@ def op9_secret_scan(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality, op3_simhash, op4_bpe, op6_url_filter, op7_langid, op8_html_extract, op9_secret_scan)}
+    return {f.__name__: f for f in (op1_quality, op2_pii, op3_simhash, op4_bpe, op6_url_filter, op7_langid, op8_html_extract, op9_secret_scan)}
 
 
 def oracle_sql() -> dict[str, str]:
