@@ -172,8 +172,9 @@ def train(docs: DataFrame, lang: str = "lang", text: str = "text") -> dict[str,
     return unit
 
 
-def classify(docs: DataFrame, prototypes: dict[str, np.ndarray], key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """`key`, lang_pred and score (cosine, not below 0) of every row, and the columns in `keep`."""
+def classify(docs: DataFrame, prototypes: dict[str, np.ndarray], key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), text_out: bool = False) -> DataFrame:
+    """`key`, lang_pred and score (cosine, not below 0) of every row, the columns in `keep` and, if wanted, the text."""
+    keep = (*keep, *([text] if text_out else []))
     names = list(prototypes)
     matrix = np.array([prototypes[k] for k in names], np.float32).reshape(len(names), DIMENSIONS).T
     kinds = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in (key, *keep)]

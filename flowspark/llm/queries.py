@@ -9,7 +9,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, html_extract, langid, pii, quality_rules, secret_scan, simhash, url_filter
+from . import bpe, html_extract, langid, lsh_forest, mixing, pii, quality_rules, secret_scan, simhash, url_filter
 from .common import prepare
 
 #: Where the public tokenizer files are; another folder can be named in the environment.
@@ -48,6 +48,10 @@ def op4_bpe(spark, sf_dir):
     return bpe.encode_decode(table(spark, sf_dir, "documents"), vocabulary_path())
 
 
+def op5_mixing(spark, sf_dir):
+    return mixing.report(table(spark, sf_dir, "documents"))
+
+
 def op6_url_filter(spark, sf_dir):
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
@@ -64,9 +68,13 @@ def op9_secret_scan(spark, sf_dir):
     return secret_scan.report(table(spark, sf_dir, "documents"))
 
 
+def op10_lsh_forest(spark, sf_dir):
+    return lsh_forest.report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_quality, op2_pii, op3_simhash, op4_bpe, op6_url_filter, op7_langid, op8_html_extract, op9_secret_scan)}
+    return {f.__name__: f for f in (op1_quality, op2_pii, op3_simhash, op4_bpe, op5_mixing, op6_url_filter, op7_langid, op8_html_extract, op9_secret_scan, op10_lsh_forest)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_url_filter": url_filter.ORACLE_SQL}
+    return {"op5_mixing": mixing.ORACLE_SQL, "op6_url_filter": url_filter.ORACLE_SQL}
