@@ -138,7 +138,7 @@ def split(s: Value, pattern: Value) -> Value:
 def mk_string(v: Value, separator: Value) -> Value:
     if not is_list(v.type):
         return failure(TEXT, ARGUMENT).with_err(_errors(v, separator))
-    return Value(F.array_join(v.col.cast("array<string>"), separator.col, "null"), TEXT, either(_errors(v, separator), failing(v.col.isNull(), ARGUMENT)))
+    return Value(F.call_function("array_join", v.col.cast("array<string>"), separator.col, F.lit("null")), TEXT, either(_errors(v, separator), failing(v.col.isNull(), ARGUMENT)))
 
 
 @method("distinct")

@@ -66,8 +66,8 @@ def of_column(col: Column, t: T.DataType) -> Value:
         return Value(col.cast(LONG), LONG)
     if isinstance(t, (T.FloatType, T.DecimalType)):
         return Value(col.cast(DOUBLE), DOUBLE)
-    if isinstance(t, T.TimestampType):
-        return Value(F.unix_millis(col), LONG)
+    if isinstance(t, (T.TimestampType, T.TimestampNTZType)):
+        return Value(F.unix_millis(col.cast("timestamp")), LONG)
     if isinstance(t, (T.CharType, T.VarcharType)):
         return Value(col.cast(TEXT), TEXT)
     return Value(col, t)

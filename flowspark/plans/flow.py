@@ -252,6 +252,8 @@ class Frame:
         for s in block:
             if isinstance(s, Branch):
                 out |= {n for c in s.choices for n in self._inside(c.block)}
+            elif isinstance(s, Include) and s.flow not in self.planner.deferred and s.flow != self.flow.name:
+                out |= {f"{s.scope}->{v}" for v in self._exports(s.flow) if "->" not in v}
         return out
 
     def _exports(self, name: str) -> set[str]:
