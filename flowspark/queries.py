@@ -22,6 +22,7 @@ from .operators.trace import iterate, run_traces
 from .plans.compiler import compile_node, compiled, scope_of, select, variables_of
 from .plans.flow import Library, plan_flow
 from .plans.parser import parse_expression
+from .session import prepare
 from .sources.events import extracted, parsed, with_trace
 from .sources.sinks import to_messages
 
@@ -42,7 +43,7 @@ def query(oracle: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return prepare(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 ITEM = ("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax", "l_returnflag")
@@ -525,8 +526,8 @@ def flow_subscribe(spark, sf_dir):
 """).select("event_id", triple="triple")
 
 
-@query("""SELECT event_id, 'later' AS scope, '/remind' AS flow_name, epoch_ms(ts) + 600000 AS scheduled_ts, user_id::VARCHAR AS trace_id, '{"x":' || event_id || '}' AS argument FROM events WHERE event_type = 'signup'
-UNION ALL SELECT event_id, 'now', '/audit', epoch_ms(ts), 'audit', '{}' FROM events""")
+@query("""SELECT event_id, 'later' AS scope, '/remind' AS flow_name, (epoch_us(ts) // 1000) + 600000 AS scheduled_ts, user_id::VARCHAR AS trace_id, '{"x":' || event_id || '}' AS argument FROM events WHERE event_type = 'signup'
+UNION ALL SELECT event_id, 'now', '/audit', (epoch_us(ts) // 1000), 'audit', '{}' FROM events""")
 def flow_schedule(spark, sf_dir):
     df = table(spark, sf_dir, "events").withColumn("ms", F.unix_millis(F.col("ts").cast("timestamp")))
     p = plan_flow(df, """# /plan
@@ -642,10 +643,10 @@ def trace_stateful(spark, sf_dir):
 """, "user_id", ["ts", "event_id"], {"paid": "now"}, "event_id bigint, paid bigint", ["event_id"])
 
 
-@query("""WITH r AS (SELECT event_id, user_id, epoch_ms(ts) AS t, lead(epoch_ms(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS again FROM events WHERE event_type = 'view'),
-a AS (SELECT event_id, user_id, epoch_ms(ts) AS t FROM events WHERE event_type = 'purchase'),
-j AS (SELECT r.*, (SELECT min(a.t) FROM a WHERE a.user_id = r.user_id AND a.t > r.t) AS at FROM r)
-SELECT event_id, CASE WHEN at <= t + 86400000 AND (again IS NULL OR at < again) THEN 'callback' ELSE 'timeout' END AS outcome, CASE WHEN at <= t + 86400000 AND (again IS NULL OR at < again) THEN at ELSE t + 86400000 END AS settled_ts FROM j""")
+@query("""WITH r AS (SELECT event_id, user_id, (epoch_us(ts) // 1000) AS t, lead((epoch_us(ts) // 1000)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS again FROM events WHERE event_type = 'view'),
+a AS (SELECT event_id, user_id, (epoch_us(ts) // 1000) AS t FROM events WHERE event_type = 'purchase'),
+j AS (SELECT r.*, (SELECT min(a.t) FROM a WHERE a.user_id = r.user_id AND a.t > r.t) AS hit FROM r)
+SELECT event_id, CASE WHEN hit <= t + 86400000 AND (again IS NULL OR hit < again) THEN 'callback' ELSE 'timeout' END AS outcome, CASE WHEN hit <= t + 86400000 AND (again IS NULL OR hit < again) THEN hit ELSE t + 86400000 END AS settled_ts FROM j""")
 def callback_join(spark, sf_dir):
     ev = table(spark, sf_dir, "events").select(F.col("user_id").alias("trace"), F.lit("pay").alias("token"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ts"), "event_id", "event_type")
     return callbacks(ev.where("event_type = 'view'"), ev.where("event_type = 'purchase'"), 86_400_000).select("event_id", "outcome", "settled_ts")
@@ -685,7 +686,7 @@ _JOURNEY = ("""# /enter
 def _journey(spark, sf_dir) -> DataFrame:
     """Procedures of the journey: event_id, trace_id, scope (array), flow_name, choice, values."""
     p = plan_flow(table(spark, sf_dir, "events"), _JOURNEY[0], Library(*_JOURNEY[1:]))
-    rows = p.procedure("event_id", "user_id", *(c for c in p.df.columns if c.startswith("_v")))
+    rows = p.procedure("event_id", "user_id", *(c for c in p.df.columns if c.startswith(("_v", "_g"))))
     values = {"/enter": {"level": "level"}, "/pay": {"fee": "pay->fee"}}
     texts = [F.when(F.col("flow_name") == flow, F.create_map(*(x for k, v in names.items() for x in (F.lit(k), p.values[v].col.cast("string"))))) for flow, names in values.items() if all(v in p.values for v in names.values())]
     return rows.select("event_id", F.col("user_id").alias("trace_id"), F.filter(F.split("scope", "/"), lambda x: x != "").alias("scope"), "flow_name", "choice", F.coalesce(*texts, F.create_map().cast("map<string,string>")).alias("values"))

@@ -20,8 +20,6 @@ from ..plans.flow import Library
 from ..plans.interpret import Execution
 from ..plans.parser import parse_flow
 
-#: A trace that gets no event for so long is forgotten.
-IDLE_MS = 20 * 60 * 1000
 
 
 def _plain(v):
@@ -55,8 +53,12 @@ def stateful(events: DataFrame, flow: str, trace: str, order: list[str], out: di
     return events.groupBy(trace).applyInPandas(lambda rows: run(rows, {})[0], schema)
 
 
-def stream(events: DataFrame, flow: str, trace: str, order: list[str], out: dict[str, str], schema: str, keep: list[str], library: Library | None = None, idle_ms: int = IDLE_MS) -> DataFrame:
-    """The same over a stream; a micro-batch's events of a trace run in order."""
+def stream(events: DataFrame, flow: str, trace: str, order: list[str], out: dict[str, str], schema: str, keep: list[str], library: Library | None = None, idle_ms: int | None = None) -> DataFrame:
+    """The same over a stream; a micro-batch's events of a trace run in order.
+
+    With `idle_ms` a trace that gets no event for so long is forgotten; Spark then
+    keeps making micro-batches, so a stream that should end has none.
+    """
     run = _runner(flow, library, order, out, keep)
 
     def handle(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -67,7 +69,8 @@ def stream(events: DataFrame, flow: str, trace: str, order: list[str], out: dict
         rows = pd.concat(list(batches))
         result, after = run(rows, before)
         state.update((json.dumps(after),))
-        state.setTimeoutDuration(idle_ms)
+        if idle_ms is not None:
+            state.setTimeoutDuration(idle_ms)
         yield result
 
-    return events.groupBy(trace).applyInPandasWithState(handle, schema, "variables string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return events.groupBy(trace).applyInPandasWithState(handle, schema, "variables string", "append", GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
