@@ -172,26 +172,36 @@ def train(docs: DataFrame, lang: str = "lang", text: str = "text") -> dict[str,
     return unit
 
 
-def classify(docs: DataFrame, prototypes: dict[str, np.ndarray], key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), text_out: bool = False) -> DataFrame:
-    """`key`, lang_pred and score (cosine, not below 0) of every row, the columns in `keep` and, if wanted, the text."""
-    keep = (*keep, *([text] if text_out else []))
-    names = list(prototypes)
+def classify(docs: DataFrame, prototypes: dict[str, np.ndarray], key: str = "doc_id", text: str = "text") -> DataFrame:
+    """`key`, lang_pred and score (cosine, not below 0) of every row."""
+    return _classified(docs.select(key, text), prototypes, [key], text)
+
+
+def in_language(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "text") -> DataFrame:
+    """The documents that aren't undetermined, with all their columns."""
+    own = docs.columns
+    plain = docs.toDF(*(f"c{i}" for i in range(len(own))))  # whatever they are called
+    found = _classified(plain, prototypes, plain.columns, f"c{own.index(text)}")
+    return found.where(F.col("lang_pred") != UNKNOWN).select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(own)))
+
+
+def _classified(docs: DataFrame, prototypes: dict[str, np.ndarray], keep: list[str], text: str) -> DataFrame:
+    names, at = list(prototypes), docs.columns.index(text)
     matrix = np.array([prototypes[k] for k in names], np.float32).reshape(len(names), DIMENSIONS).T
-    kinds = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in (key, *keep)]
+    places = {c: docs.columns.index(c) for c in keep}
 
     def run(batch):
-        vectors, has = bundles(batch.column(1).to_pylist())
+        vectors, has = bundles(batch.column(at).to_pylist())
         norms = np.linalg.norm(vectors, axis=1)
         known = has & (norms > 0) & bool(names)
         cosine = (vectors @ matrix) / np.maximum(norms, 1e-12)[:, None] if names else np.zeros((len(has), 1))
         best = cosine.argmax(axis=1)
         score = np.where(known, np.clip(cosine[np.arange(len(best)), best], 0, 1), 0.0)
-        # a text whose letters make no 3-gram still gets a language, with score 0
         pred = [names[b] if h and names else UNKNOWN for b, h in zip(best, has)]
-        return {key: batch.column(0), "lang_pred": pred, "score": pa.array(score.astype(np.float64)), **{c: batch.column(2 + i) for i, c in enumerate(keep)}}
+        return {"lang_pred": pred, "score": pa.array(score.astype(np.float64)), **{c: batch.column(i) for c, i in places.items()}}
 
-    schema = ", ".join([kinds[0], "lang_pred string", "score double", *kinds[1:]])
-    return map_batches(docs.select(key, text, *keep), run, schema)
+    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), "lang_pred string", "score double"])
+    return map_batches(docs, run, schema)
 
 
 def held_out(key: Column) -> Column:

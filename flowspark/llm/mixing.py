@@ -129,28 +129,30 @@ def block_order(stratum: str, block: str, seed: int) -> Column:
 
 
 def mixed(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: int = 0, **target) -> DataFrame:
-    """The documents with weight, epochs and copies (how often the mixture has each)."""
+    """The documents and `_mix`: struct<weight, epochs, copies>, copies being how often the mixture has each."""
     own = docs.columns
     choice = plan(docs, key, text, source, seed=seed, **target)
-    rows = docs.withColumn("stratum", stratum(source)).withColumn("digest", digest(key, text, seed))
+    choice = choice.select(F.struct(*choice.columns).alias("_mix_plan"))
+    rows = docs.withColumn("_mix_digest", digest(key, text, seed))
     # one row a source, at most MOST_SOURCES of them
-    rows = rows.join(F.broadcast(choice), "stratum")
-    order = block_order("stratum", "block", seed)
-    rows = rows.withColumn("block", block()).withColumn("order", order)
-    more = F.when(F.col("last_order").isNull(), F.lit(0)).when(F.col("order") < F.col("last_order"), 1).when((F.col("order") == F.col("last_order")) & (F.col("digest") <= F.coalesce("last_digest", F.lit(""))), 1).otherwise(0)
-    return rows.withColumn("copies", F.col("whole") + more).select(*own, "weight", "epochs", F.col("copies").cast("long").alias("copies"))
+    rows = rows.join(F.broadcast(choice), stratum(source) == F.col("_mix_plan.stratum"))
+    place = F.col("_mix_plan")
+    order = _digest(F.lit(seed).cast("string"), place["stratum"], (_number(F.col("_mix_digest"), 25) % place["n_blocks"]).cast("string"))
+    more = F.when(place["last_order"].isNull(), F.lit(0)).when(order < place["last_order"], 1).when((order == place["last_order"]) & (F.col("_mix_digest") <= F.coalesce(place["last_digest"], F.lit(""))), 1).otherwise(0)
+    copies = (place["whole"] + more).cast("long")
+    return rows.select(*(F.col(f"`{c}`") for c in own), F.struct(place["weight"].alias("weight"), place["epochs"].alias("epochs"), copies.alias("copies")).alias("_mix"))
 
 
 def realised(docs: DataFrame, **options) -> DataFrame:
     """The mixture: every document as often as its copies, with the columns of `docs`."""
-    out = mixed(docs, **options).where("copies > 0")
-    return out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    out = mixed(docs, **options).where("_mix.copies > 0")
+    return out.withColumn("_mix", F.explode(F.sequence(F.lit(1), F.col("_mix.copies").cast("int")))).drop("_mix")
 
 
 def report(docs: DataFrame) -> DataFrame:
     """doc_id, source, n_tokens, weight, epochs and copies of every document."""
     return mixed(docs.select("doc_id", "text", "source")).select(
-        "doc_id", "source", n_tokens(F.col("text")).alias("n_tokens"), F.round("weight", 9).alias("weight"), F.round("epochs", 9).alias("epochs"), "copies"
+        "doc_id", "source", n_tokens(F.col("text")).alias("n_tokens"), F.round("_mix.weight", 9).alias("weight"), F.round("_mix.epochs", 9).alias("epochs"), F.col("_mix.copies").alias("copies")
     )
 
 
