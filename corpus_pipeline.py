@@ -13,8 +13,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language: those that language ID calls undetermined go."""
     prepare(spark)
     labelled = docs.where(~langid.held_out(docs["doc_id"]))
-    found = langid.classify(docs, langid.train(labelled), keep=tuple(c for c in docs.columns if c not in ("doc_id", "text")), text_out=True)
-    return found.where(found["lang_pred"] != langid.UNKNOWN).select(*docs.columns)
+    return langid.in_language(docs, langid.train(labelled))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
