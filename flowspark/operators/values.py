@@ -224,7 +224,8 @@ def arithmetic(op: str, a: Value, b: Value) -> Value:
     a, b = numeric(a), numeric(b)
     if not (is_number(a.type) and is_number(b.type)):
         return failure(DOUBLE, ARGUMENT).with_err(errors)
-    errors = either(errors, failing(a.col.isNull() | b.col.isNull(), ARGUMENT))
+    one = a.col.isNull() != b.col.isNull() if op in "+-" else a.col.isNull() | b.col.isNull()  # null + null is null
+    errors = either(errors, failing(one, ARGUMENT))
     if op == "/":
         return Value(F.try_divide(a.col.cast(DOUBLE), b.col.cast(DOUBLE)), DOUBLE, either(errors, failing(b.col == 0, ARITHMETIC)))
     whole = _whole(a.type) and _whole(b.type)
