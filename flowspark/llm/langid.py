@@ -31,7 +31,7 @@ DIMENSIONS, SEED = 1024, 20240601
 KEPT_GRAMS = 40_000
 UNKNOWN = "und"
 #: Code points handled at once; longer batches are split between texts.
-BLOCK = 4_000_000
+BLOCK = 1_000_000
 
 
 @lru_cache(maxsize=20_000)
