@@ -35,7 +35,7 @@ from .common import map_batches
 
 #: Chunks (text between white space) whose ids a worker keeps, in each of two generations;
 #: nodes of the trie and pairs of tokens that it keeps.  These bound memory, not results.
-CACHED_CHUNKS, KEPT_NODES, KEPT_PAIRS = 200_000, 600_000, 500_000
+CACHED_CHUNKS, KEPT_NODES, KEPT_PAIRS = 120_000, 350_000, 300_000
 #: Longer chunks aren't kept.
 LONGEST_CACHED = 64
 
