@@ -100,7 +100,11 @@ def min_(v: Value) -> Value:
 
 @method("sum")
 def sum_(v: Value) -> Value:
-    return _aggregate(v, lambda c: F.aggregate(c, F.lit(0).cast(v.type.elementType), lambda a, x: a + x), True)
+    if not is_list(v.type) or not is_number(v.type.elementType):
+        return _aggregate(v, lambda c: c, True)
+    kind = LONG if isinstance(v.type.elementType, T.IntegralType) else DOUBLE
+    wide = Value(v.col.cast(T.ArrayType(kind)), T.ArrayType(kind), v.err)
+    return _aggregate(wide, lambda c: F.aggregate(c, F.lit(0).cast(kind), lambda a, x: a + x), True)
 
 
 def _set(test: Callable[[Column, Callable[[Column], Column]], Column]):

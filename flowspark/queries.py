@@ -86,7 +86,7 @@ def flow_branch(spark, sf_dir):
     return plan_flow(table(spark, sf_dir, "events"), TRIAGE).select("event_id", tier="tier")
 
 
-@query("""SELECT l_orderkey, l_linenumber, l_extendedprice * (1 - l_discount) AS revenue, l_quantity % 7 AS rest, l_extendedprice / l_quantity AS unit, -l_tax AS neg, l_linenumber * 3 - 1 AS whole, l_linenumber / 4 AS part FROM lineitem""")
+@query("""SELECT l_orderkey, l_linenumber, l_extendedprice * (1 - l_discount) AS revenue, l_quantity % 7 AS rest, l_extendedprice / l_quantity AS unit, -l_tax AS neg, (l_linenumber * 3 - 1)::BIGINT AS whole, l_linenumber / 4 AS part FROM lineitem""")
 def expr_arith(spark, sf_dir):
     return select(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"], revenue="@l_extendedprice * (1 - @l_discount)", rest="@l_quantity % 7", unit="@l_extendedprice / @l_quantity", neg="-@l_tax", whole="@l_linenumber * 3 - 1", part="@l_linenumber / 4")
 
@@ -427,7 +427,7 @@ def flow_nested_branch(spark, sf_dir):
     return p.df.select("event_id", choices.alias("choices"), p.values["score"].col.alias("score"))
 
 
-@query("SELECT c_custkey, n_name AS nation, n_regionkey * 10 AS region FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey AND c_acctbal > 0")
+@query("SELECT c_custkey, n_name AS nation, (n_regionkey * 10)::BIGINT AS region FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey AND c_acctbal > 0")
 def flow_composite_lookup(spark, sf_dir):
     library = Library(services={"Nation": TableService(table(spark, sf_dir, "nation"), "n_nationkey", ["n_name", "n_regionkey"], "key")})
     return plan_flow(table(spark, sf_dir, "customer"), """# /lookup
