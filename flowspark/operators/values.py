@@ -218,7 +218,10 @@ def arithmetic(op: str, a: Value, b: Value) -> Value:
     if op in "+-" and (is_list(a.type) or is_list(b.type)) and all(is_list(x.type) or x.type == VOID for x in (a, b)):
         return (union if op == "+" else subtract)(a, b)
     if op == "+" and TEXT in (a.type, b.type) and all(x.type == TEXT or is_number(x.type) for x in (a, b)):
-        return Value(F.concat(to_text(a), to_text(b)), TEXT, either(errors, failing(a.col.isNull() | b.col.isNull(), ARGUMENT)))
+        return Value(F.concat(to_text(a), to_text(b)), TEXT, either(errors, failing(a.col.isNull() != b.col.isNull(), ARGUMENT)))
+    if op in "+-" and VOID in (a.type, b.type):
+        other = a if b.type == VOID else b
+        return Value(F.lit(None).cast(other.type), other.type, either(errors, failing(other.col.isNotNull(), ARGUMENT)))
     if op == "*" and a.type == TEXT and is_number(b.type):
         return Value(F.repeat(a.col, b.col.cast("int")), TEXT, either(errors, failing(a.col.isNull() | b.col.isNull() | (b.col != F.floor(b.col)), ARGUMENT)))
     a, b = numeric(a), numeric(b)
