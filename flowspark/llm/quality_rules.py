@@ -29,16 +29,20 @@ from .common import let, prepare, stored, words_of
 ALPHA, DELTA = 0.05, 0.05
 
 
+_STEPS = tuple(round(0.8 - 0.025 * i, 3) for i in range(32))  # 0.8 to 0.025
+#: Cutoffs of each rule, from loose to tight.
+GRIDS: dict[str, tuple[float, ...]] = {
+    "symbols": (*_STEPS, 0.01), "duplicate_lines": _STEPS, "repeated_words": _STEPS, "capitals": _STEPS, "word_length": tuple(20 - 0.5 * i for i in range(32)),
+}
+#: The two counts whose quotient is each rule's statistic.
+PARTS = {
+    "symbols": ("n_symbols", "word_chars"), "duplicate_lines": ("n_dup_lines", "n_lines"), "repeated_words": ("n_repeat_words", "n_words"),
+    "capitals": ("n_capitals", "word_chars"), "word_length": ("word_chars", "n_words"),
+}
+
+
 def _rules() -> dict[str, tuple[Column, tuple[float, ...]]]:
-    share = lambda a, b: F.col(a) / F.greatest(F.col(b), F.lit(1))
-    steps = tuple(round(0.8 - 0.025 * i, 3) for i in range(32))  # 0.8 to 0.025
-    return {
-        "symbols": (share("n_symbols", "word_chars"), (*steps, 0.01)),
-        "duplicate_lines": (share("n_dup_lines", "n_lines"), steps),
-        "repeated_words": (share("n_repeat_words", "n_words"), steps),
-        "capitals": (share("n_capitals", "word_chars"), steps),
-        "word_length": (share("word_chars", "n_words"), tuple(20 - 0.5 * i for i in range(32))),
-    }
+    return {name: (F.col(a) / F.greatest(F.col(b), F.lit(1)), GRIDS[name]) for name, (a, b) in PARTS.items()}
 
 
 def repeat_words(words: Column) -> Column:
@@ -133,3 +137,41 @@ def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
     rows = stored(features(docs), "quality")
     judged = judge(rows, cutoffs(rows, labels))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.col("n_failed").alias("rules_failed"))
+
+
+def oracle_sql() -> str:
+    """The same in DuckDB's SQL."""
+    grid = ", ".join(f"('{name}', {place}, {float(c)})" for name, cs in GRIDS.items() for place, c in enumerate(cs))
+    values = " UNION ALL ".join(f"SELECT doc_id, n, stratum, '{name}' AS rule, {a}::DOUBLE / greatest({b}, 1) AS x FROM f" for name, (a, b) in PARTS.items())
+    p = ALPHA / len(GRIDS)
+    return rf"""
+WITH w AS (
+  SELECT doc_id, row_number() OVER () AS n, coalesce(lang, chr(1)) AS stratum, coalesce(text, '') AS t,
+         list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls
+  FROM documents),
+s AS (SELECT n, unnest(range(1, len(ws) - 1)) AS i, ws FROM w WHERE len(ws) >= 3),
+windows AS (SELECT n, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS win FROM s),
+again AS (SELECT n, i FROM (SELECT *, count(*) OVER (PARTITION BY n, win) AS c FROM windows) WHERE c > 1),
+covered AS (SELECT n, count(DISTINCT i + k) AS c FROM again, (VALUES (0), (1), (2)) AS o(k) GROUP BY n),
+f AS (
+  SELECT doc_id, w.n, stratum, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars,
+         length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, length(regexp_replace(t, '[^A-Z]', '', 'g'))::BIGINT AS n_capitals,
+         (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, len(ls)::BIGINT AS n_lines, coalesce(c, 0)::BIGINT AS n_repeat_words
+  FROM w LEFT JOIN covered ON covered.n = w.n),
+grid(rule, place, cutoff) AS (VALUES {grid}),
+x AS ({values}),
+good AS (SELECT doc_id FROM labels GROUP BY doc_id HAVING min(quality) = 1),
+tried AS (
+  SELECT stratum, rule, place, cutoff::DOUBLE AS cutoff, count(*) AS n, count(*) FILTER (x > cutoff) AS k FROM x JOIN good USING (doc_id) JOIN grid USING (rule) GROUP BY ALL),
+tests AS (SELECT count(*) AS m FROM (SELECT DISTINCT stratum, rule FROM tried)),
+tail AS (
+  SELECT *, CASE WHEN k > {p} * n THEN 1.0 ELSE list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({p}) + (n - i) * ln(1 - {p})))) END AS chance
+  FROM tried),
+fits AS (SELECT *, bool_and(chance <= {DELTA} / (SELECT m FROM tests)) OVER (PARTITION BY stratum, rule ORDER BY place ROWS UNBOUNDED PRECEDING) AS fits FROM tail),
+cuts AS (SELECT stratum, rule, arg_max(cutoff, place) AS cutoff FROM fits WHERE fits GROUP BY stratum, rule),
+failed AS (SELECT x.n, count(*) AS c FROM x JOIN cuts USING (stratum, rule) WHERE x > cutoff GROUP BY x.n)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
+       NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND coalesce(c, 0) = 0 AS kept, coalesce(c, 0)::INTEGER AS rules_failed
+FROM f LEFT JOIN failed ON failed.n = f.n
+"""

@@ -77,4 +77,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_mixing": mixing.ORACLE_SQL, "op6_url_filter": url_filter.ORACLE_SQL}
+    return {"op1_quality": quality_rules.oracle_sql(), "op10_lsh_forest": lsh_forest.ORACLE_SQL, "op5_mixing": mixing.ORACLE_SQL, "op6_url_filter": url_filter.ORACLE_SQL}
