@@ -10,7 +10,7 @@ order of this struct is the order in which records are folded.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,16 +36,22 @@ def anonymous(p: Column) -> Column:
 
 @dataclass
 class View:
-    """records: array<struct<i: array<INDEX>, v>>; kinds: of each dimension; root: default of an empty fold."""
+    """records: array<struct<i: array<INDEX>, v>>; kinds: of each dimension; root: default of an empty fold.
+
+    `ordered` and `unique` say what is known of the index paths, so that a fold
+    needn't sort or look for repeats.
+    """
 
     records: Column
     kinds: tuple[int, ...]
     type: T.DataType
     root: str
     err: Column | None = None
+    ordered: bool = False
+    unique: bool = True
 
     def with_err(self, err: Column | None) -> View:
-        return View(self.records, self.kinds, self.type, self.root, either(self.err, err))
+        return replace(self, err=either(self.err, err))
 
 
 @dataclass
@@ -94,14 +100,14 @@ def _root(t: T.DataType) -> str:
     return "list" if is_list(t) else "dict"
 
 
-def _extend(source: Value | View, elements: Callable[[Value], tuple[Column, int, T.DataType]]) -> View:
-    """One more dimension: the elements of each value, their indices appended."""
+def _extend(source: Value | View, elements: Callable[[Value], tuple[Column, int, T.DataType]], in_order: bool = True) -> View:
+    """One more dimension: the elements of each value, their indices appended; lists give theirs in order."""
     if isinstance(source, Value):
         if not (is_list(source.type) or is_dict(source.type) or source.type == VARIANT):
             return View(F.array().cast(T.ArrayType(T.StructType([T.StructField("i", T.ArrayType(INDEX)), T.StructField("v", TEXT)]))), (LOCATION,), TEXT, "list", either(source.err, F.lit(ARGUMENT)))
         own, kind, t = elements(source)
         records = F.transform(F.coalesce(own, F.slice(own, 1, 0)), lambda e: F.struct(F.array(e["x"]).alias("i"), e["v"].alias("v")))
-        return View(records, (kind,), t, _root(source.type), either(source.err, failing(source.col.isNull(), ARGUMENT)))
+        return View(records, (kind,), t, _root(source.type), either(source.err, failing(source.col.isNull(), ARGUMENT)), in_order and kind == LOCATION)
     _, kind, t = elements(Value(F.lit(None), source.type))
 
     def more(r: Column) -> Column:
@@ -109,7 +115,7 @@ def _extend(source: Value | View, elements: Callable[[Value], tuple[Column, int,
         return F.transform(F.coalesce(own, F.slice(own, 1, 0)), lambda e: F.struct(F.concat(r["i"], F.array(e["x"])).alias("i"), e["v"].alias("v")))
 
     nested = F.transform(F.filter(source.records, lambda r: r["v"].isNotNull()), more)
-    return View(F.flatten(nested), (*source.kinds, kind), t, source.root, source.err)
+    return View(F.flatten(nested), (*source.kinds, kind), t, source.root, source.err, in_order and source.ordered and kind == LOCATION, source.unique)
 
 
 def select_all(source: Value | View) -> View:
@@ -134,7 +140,8 @@ def select(source: Value | View, indices: list[Value], constants: list) -> View:
         some = F.array(*(F.struct(location(i.col).alias("x"), F.get(v.col, place(i.col).cast("int")).alias("v")) for i in indices if is_number(i.type)))
         return F.filter(some, lambda e: (place(e["x"]["p"]) >= 0) & (place(e["x"]["p"]) < F.size(v.col))), LOCATION, t.elementType
 
-    return _extend(source, elements).with_err(either(*(i.err for i in indices)))
+    out = _extend(source, elements, in_order=False)
+    return replace(out.with_err(either(*(i.err for i in indices))), unique=False)  # an index may be named twice
 
 
 def slice_view(source: Value | View, begin: Value | None, end: Value | None, constants: tuple) -> View:
@@ -169,7 +176,7 @@ def query(source: Value | View, test: Callable[[Value, Path], Value]) -> View:
     one = lambda r: test(Value(r["v"], view.type), Path(r["i"], view.kinds))
     probe = one(F.lit(None).cast(T.StructType([T.StructField("i", T.ArrayType(INDEX)), T.StructField("v", view.type)])))
     errors = None if probe.err is None else F.get(F.filter(F.transform(view.records, lambda r: one(r).err), lambda e: e.isNotNull()), F.lit(0))
-    return View(F.filter(view.records, lambda r: one(r).col), view.kinds, view.type, view.root, either(view.err, errors))
+    return replace(view, records=F.filter(view.records, lambda r: one(r).col)).with_err(errors)
 
 
 def _index_of(key: Value, unique: Column) -> tuple[Column, int]:
@@ -187,7 +194,7 @@ def expand(view: View, key: Callable[[Value, Path], Value]) -> View:
     one = lambda r: key(Value(r["v"], view.type), Path(r["i"], view.kinds))
     probe = one(F.lit(None).cast(typed))
     records = F.transform(view.records, lambda r, j: F.struct(F.concat(r["i"], F.array(_index_of(one(r), j)[0])).alias("i"), r["v"].alias("v")))
-    return View(records, (*view.kinds, _index_of(probe, F.lit(0))[1]), view.type, view.root, view.err)
+    return View(records, (*view.kinds, _index_of(probe, F.lit(0))[1]), view.type, view.root, view.err, unique=view.unique)
 
 
 def project(source: Value | View, key: Callable[[Value, Path], Value]) -> View:
@@ -213,20 +220,26 @@ def merge(a: View, b: View) -> View:
 
     left, right = widened(a), widened(b)
     both = let(right, lambda s: F.concat(F.filter(left, lambda r: ~F.exists(s, lambda q: q["i"] == r["i"])), s))
-    return View(_sorted(both, t), a.kinds, t, a.root, errors)
+    return View(_sorted(both, t), a.kinds, t, a.root, errors, True, a.unique and b.unique)
 
 
 def _sorted(records: Column, t: T.DataType) -> Column:
     """By index path; values of kinds without an order stay out of the comparison."""
-    if t == VARIANT or isinstance(t, T.MapType):
-        return F.array_sort(records, lambda x, y: F.when(x["i"] < y["i"], -1).when(x["i"] > y["i"], 1).otherwise(0))
-    return F.array_sort(records, lambda x, y: F.when(x["i"] < y["i"], -1).when(x["i"] > y["i"], 1).otherwise(0)) if isinstance(t, (T.StructType, T.ArrayType)) else F.sort_array(records)
+    if _orderable(t):
+        return F.sort_array(records)
+    return F.array_sort(records, lambda x, y: F.when(x["i"] < y["i"], -1).when(x["i"] > y["i"], 1).otherwise(0))
+
+
+def _orderable(t: T.DataType) -> bool:
+    if isinstance(t, T.StructType):
+        return all(_orderable(f.dataType) for f in t)
+    return _orderable(t.elementType) if is_list(t) else t != VARIANT and not isinstance(t, T.MapType)
 
 
 def transpose(view: View) -> View:
     """The index paths reversed."""
     records = F.transform(view.records, lambda r: F.struct(F.reverse(r["i"]).alias("i"), r["v"].alias("v")))
-    return View(records, view.kinds[::-1], view.type, view.root, view.err)
+    return View(records, view.kinds[::-1], view.type, view.root, view.err, view.ordered and len(view.kinds) == 1, view.unique)
 
 
 def map_records(view: View, body: Callable[[Value, Path], Value], drop_null: bool = False) -> View:
@@ -239,14 +252,14 @@ def map_records(view: View, body: Callable[[Value, Path], Value], drop_null: boo
     errors = None if probe.err is None else F.get(F.filter(F.transform(view.records, lambda r: one(r).err), lambda e: e.isNotNull()), F.lit(0))
     if drop_null:
         records = F.filter(records, lambda r: r["v"].isNotNull())
-    return View(records, view.kinds, kind, view.root, either(view.err, errors))
+    return View(records, view.kinds, kind, view.root, either(view.err, errors), view.ordered, view.unique)
 
 
 def at(view: View, index: Value, constant) -> View:
     """`t[i]`: the element of each record that has it."""
     chosen = select(view, [index], [constant])
     records = F.transform(chosen.records, lambda r: F.struct(F.slice(r["i"], 1, len(view.kinds)).alias("i"), r["v"].alias("v")))
-    return View(records, view.kinds, chosen.type, view.root, chosen.err)
+    return View(records, view.kinds, chosen.type, view.root, chosen.err, view.ordered, view.unique)
 
 
 def fold(view: View) -> Value:
@@ -258,6 +271,11 @@ def fold(view: View) -> Value:
         _, inner = level(F.array(F.struct(F.array().cast(T.ArrayType(INDEX)).alias("i"), F.lit(None).alias("v"))), kinds[1:])
         below = lambda h: level(F.transform(F.filter(records, lambda r: F.get(r["i"], F.lit(0)) == h), lambda r: F.struct(F.slice(r["i"], 2, F.size(r["i"])).alias("i"), r["v"].alias("v"))), kinds[1:])[0]
         heads = F.array_distinct(F.transform(records, lambda r: F.get(r["i"], F.lit(0))))
+        if len(kinds) == 1 and view.unique:
+            if kinds[0] != FIELD:
+                return F.transform(records, lambda r: r["v"]), T.ArrayType(inner)
+            named = lambda h: F.coalesce(h["n"], h["p"].cast("string"))
+            return F.map_from_entries(F.transform(records, lambda r: F.struct(named(F.get(r["i"], F.lit(0))).alias("key"), r["v"].alias("value")))), T.MapType(TEXT, inner)
         if len(kinds) == 1:  # the last of equal indices
             below = lambda h: F.element_at(F.filter(records, lambda r: F.get(r["i"], F.lit(0)) == h), -1)["v"]
             if kinds[0] != FIELD and not view.type == VOID:
@@ -267,8 +285,10 @@ def fold(view: View) -> Value:
             return F.map_from_entries(entries), T.MapType(TEXT, inner)
         return F.transform(heads, below), T.ArrayType(inner)
 
-    ordered = _sorted(view.records, view.type)
+    ordered = view.records if view.ordered else _sorted(view.records, view.type)
     kind = level(F.array(F.struct(F.array().cast(T.ArrayType(INDEX)).alias("i"), F.lit(None).alias("v"))), view.kinds)[1]
+    if view.unique and view.kinds == (LOCATION,):
+        return Value(level(ordered, view.kinds)[0], kind, view.err)
     return Value(let(ordered, lambda r: level(r, view.kinds)[0]), kind, view.err)
 
 
