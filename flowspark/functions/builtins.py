@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.values import ARGUMENT, BOOL, BOUNDS, DOUBLE, LONG, TEXT, VARIANT, VOID, Value, cast_to, common, either, equal, failing, failure, is_dict, is_list, is_number, let, literal, numeric, union
+from ..operators.values import ARGUMENT, BOOL, BOUNDS, DOUBLE, LONG, TEXT, VARIANT, VOID, Value, cast_to, common, either, equal, failing, failure, is_dict, is_list, is_number, let, numeric, union
 
 FUNCTIONS: dict[str, Callable[..., Value]] = {}
 METHODS: dict[str, Callable[..., Value]] = {}

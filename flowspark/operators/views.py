@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .values import ARGUMENT, BOUNDS, DOUBLE, LONG, TEXT, VARIANT, VOID, Value, cast_to, common, either, equal, failing, failure, is_dict, is_list, is_number, let, literal, make_list, union
+from .values import ARGUMENT, BOUNDS, LONG, TEXT, VARIANT, VOID, Value, cast_to, common, either, failing, failure, is_dict, is_list, is_number, let, make_list, union
 
 INDEX = T.StructType([T.StructField("k", T.IntegerType(), False), T.StructField("p", LONG), T.StructField("n", TEXT)])
 LOCATION, ANONYMOUS, FIELD = 0, 1, 2

@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from ..operators import values as V
 from ..operators.services import RemoteService, Service, SinkService
-from ..operators.values import TEXT, VOID, Value, either
+from ..operators.values import TEXT, VOID, Value
 from .compiler import Scope, evaluate, variables_of
 from .parser import parse_flow
 from .tree import Assign, Branch, Composite, Evaluate, Flow, Include, Node, Schedule
