@@ -190,3 +190,33 @@ def test_block_tables_find_all_pairs(spark):
     for extra in (1, 2):
         got = {(r.a, r.b): r.distance for r in simhash.within_radius(frame, radius=5, extra=extra).collect()}
         assert got == want
+
+
+def test_simhash_near_copies_against_brute_force(spark):
+    rng = random.Random(5)
+    texts = []
+    for _ in range(40):  # a text, an exact copy and copies with 1 and 2 % of the words replaced
+        base = [f"w{rng.randrange(4000)}" for _ in range(rng.randint(150, 400))]
+        texts += [" ".join(base)] * 2
+        for share in (0.01, 0.02):
+            own = list(base)
+            for at in rng.sample(range(len(own)), max(1, int(share * len(own)))):
+                own[at] = f"new{rng.randrange(10_000)}"
+            texts.append(" ".join(own))
+    marks = [int.from_bytes(simhash.Hasher().fingerprint(t)) for t in texts]
+    want = {(i, j): d for i, a in enumerate(marks) if i % 50 == 0 for j, b in enumerate(marks) if i != j and (d := (a ^ b).bit_count()) <= simhash.RADIUS}
+    assert sum(want.values()) and len(want) >= 3 * len({i for i, _ in want})
+    rows = simhash.report(documents(spark, texts, repeat=False)).cache()
+    assert {r.doc_id: r.n_near for r in rows.collect()} == {i: sum(x == i for x, _ in want) if i % 50 == 0 else None for i in range(len(texts))}
+    assert {(r.doc_id, r.near_id): r.distance for r in simhash.near_documents(rows, rows.where("doc_id % 50 = 0")).collect()} == want
+
+
+def test_simhash_probes_find_all_pairs(spark):
+    rng = random.Random(9)
+    base = [rng.getrandbits(128) for _ in range(12)]
+    values = {f"{b ^ sum(1 << x for x in rng.sample(range(128), k)):032x}" for b in base for k in range(0, 26, 2)} | {"0" * 32, "f" * 32}
+    frame = spark.createDataFrame([(v,) for v in values], "fingerprint string")
+    for radius in (3, 7, 20):
+        want = {(a, b): d for a in values for b in values if a < b and (d := (int(a, 16) ^ int(b, 16)).bit_count()) <= radius}
+        rows = simhash.within_radius(frame, radius=radius).collect()
+        assert {(r.a, r.b): r.distance for r in rows} == want and len(rows) == len(want)
