@@ -3,11 +3,10 @@
 Three strong kinds are reported wherever they stand: `assign` (a named
 assignment), `access` (an access identifier) and `hex` (a long hex run).
 Parts that are too weak alone are *linked*: identifiers, secrets and endpoints
-are intervals, an identifier or endpoint reaches `reach` code points to either
-side but never past a blank line (its scope), and a sorted interval join finds
-the weak secrets inside that reach.  A weak secret is reported only if a
-complementary part (an identifier or an endpoint) co-occurs; an endpoint only if
-it then completes a credential.
+are intervals, the blank lines of a text bound its scopes, and the sorted parts
+of a scope are joined, however long they are and however far apart.  A weak
+secret is reported only if a complementary part (an identifier or an endpoint)
+is in its scope; an endpoint only if it then completes a credential.
 
 Defined results: a null text has no spans; ties at one start are ordered by the
 order of KINDS; repeated rows are scanned one by one; other columns are ignored.
@@ -39,8 +38,6 @@ IDENTIFIER = re.compile(r"""\b(?:access_?key(?:_?id)?|client_?id|account(?:_?id)
 ENDPOINT = re.compile(r"\b(?:https?|ftps?|s3|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\s\"'<>]+", re.ASCII)
 WEAK = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])")
 BLANK_LINE = re.compile(r"\n[\x20\t\r]*\n")
-#: Code points that an identifier or endpoint reaches to either side.
-REACH = 300
 #: A weak secret has at least so many bits a character.
 MIN_ENTROPY = 3.5
 
@@ -67,10 +64,11 @@ def _weak(value: str) -> bool:
     return kinds == 3 and entropy(value) >= MIN_ENTROPY
 
 
-def link_parts(text: str, strong: list[tuple[int, int, str]], reach: int = REACH):
+def link_parts(text: str, strong: list[tuple[int, int, str]]):
     """(added spans, credentials): weak parts that complementary parts confirm.
 
-    A credential is (scope start, scope end, part indices by place).
+    A credential is (scope start, scope end, parts by place), one for each scope
+    that has an anchor and a secret.  No part holds a line break, so each is in one scope.
     """
     anchors = [(s, e, "access") for s, e, k in strong if k == "access"]
     if ":" in text or "=" in text:
@@ -93,21 +91,21 @@ def link_parts(text: str, strong: list[tuple[int, int, str]], reach: int = REACH
             secrets.append((m.start(), m.end(), "weak"))
     secrets.sort()
     blanks = [m.start() for m in BLANK_LINE.finditer(text)]
-    added, credentials, low = set(), [], 0
-    secret_starts = [s for s, _, _ in secrets]
-    for s, e, kind in anchors:
-        k = bisect_left(blanks, s)
-        left = max(s - reach, blanks[k - 1] if k else 0)
-        right = min(e + reach, blanks[k] if k < len(blanks) else len(text))
-        low = bisect_left(secret_starts, left)
-        high = bisect_left(secret_starts, right)
-        inside = [x for x in secrets[low:high] if x[1] <= right and (x[0], x[1]) != (s, e)]
-        if not inside:
+    scopes: dict[int, tuple[list, list]] = {}
+    for which, parts in enumerate((anchors, secrets)):
+        for x in parts:
+            scopes.setdefault(bisect_left(blanks, x[0]), ([], []))[which].append(x)
+    added, credentials = set(), []
+    for k, (mine, near) in sorted(scopes.items()):
+        anchored, secret = {x[:2] for x in mine}, {x[:2] for x in near}
+        met = [x for x in mine if secret - {x[:2]}] if len(secret) < 2 else mine  # a part doesn't complete itself
+        inside = [x for x in near if anchored - {x[:2]}] if len(anchored) < 2 else near
+        if not (met and inside):
             continue
-        if kind in ("endpoint", "identifier"):
-            added.add((s, e, kind))
+        added.update(x for x in met if x[2] in ("endpoint", "identifier"))
         added.update((x[0], x[1], "secret") for x in inside if x[2] == "weak")
-        credentials.append((left, right, [(s, e, kind), *((x[0], x[1], "secret") for x in inside)]))
+        left, right = blanks[k - 1] if k else 0, blanks[k] if k < len(blanks) else len(text)
+        credentials.append((left, right, sorted([*met, *((x[0], x[1], "secret") for x in inside)])))
     return sorted(added, key=lambda x: (x[0], KINDS.index(x[2]))), credentials
 
 

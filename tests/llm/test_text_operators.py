@@ -105,6 +105,18 @@ def test_secrets_and_links(spark):
     assert secret_scan.report(documents(spark, [])).count() == 0
 
 
+def test_secrets_are_linked_in_their_whole_scope():
+    rng = random.Random(4)
+    key = lambda n: "Aa0" + "".join(rng.choice("ABCDEFGHJKLMabcdefghjkm0123456789+/") for _ in range(n - 3))
+    long, lines, far = key(2000), [key(64) for _ in range(20)], key(40)
+    for anchor in ("client_id = worker-7", "see https://host.example/v1"):
+        for text, secrets in ((f"{anchor} {long}", [long]), (f"{long}\n{anchor}", [long]), (anchor + "\n" + "\n".join(lines), lines), (f"{anchor} {'plain words ' * 100}{far}", [far])):
+            assert [text[s:e] for s, e, k in secret_scan.scan(text) if k == "secret"] == secrets
+            assert secret_scan.scan(text.replace(anchor, f"\n\n{anchor}\n\n")) == []
+    many = "user: someone\n" * 20_000 + "\n".join(lines)  # linear in the parts of a scope
+    assert sum(k == "secret" for _, _, k in secret_scan.scan(many)) == 20
+
+
 def test_url_rules(spark):
     urls = [None, "", "no scheme", "http://Example.COM/en/x?q#f", "https://www.example.com/en/", "http://a.net/es/1", "http://net/fr/", "http://example.com", "ftp://x.org/en/?a", "http://com.org/", "http://notexample.com/en/", "://", "http://www.EXAMPLE.com/en"]
     pages = spark.createDataFrame([(i, u, "h", "x") for i, u in enumerate(urls)], "page_id bigint, url string, rule string, host string")
