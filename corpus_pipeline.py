@@ -10,10 +10,11 @@ from flowspark.llm.queries import vocabulary_path
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language: those that language ID calls undetermined go."""
+    """Documents in a language: those go that have no letter, or a cosine below what held-out labelled rows reach."""
     prepare(spark)
-    labelled = docs.where(~langid.held_out(docs["doc_id"]))
-    return langid.in_language(docs, langid.train(labelled))
+    held = langid.held_out(docs["doc_id"])
+    prototypes = langid.train(docs.where(~held))
+    return langid.in_language(docs, prototypes, cutoffs=langid.calibrate(docs.where(held), prototypes))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,6 +9,11 @@ A text gets the language whose prototype has the largest cosine with it.
 Bundles are linear, so training only has to count 3-grams by language inside each
 partition and add up one vector a language and partition.
 
+`in_language` rejects texts whose cosine is below a cutoff for texts of their
+length.  `calibrate` takes the cutoffs from labelled rows that training didn't
+see: SLACK of the cosine that all but LOSS of them reach, but at most NOISE, as a
+cosine above it can't come from letters at random, however few rows were labelled.
+
 Defined results: a null text, or one without a letter, is `und` with score 0;
 ties go to the first language by name; with no labelled text at all everything
 is `und`.  Repeated rows count as often as they occur; other columns are ignored.
@@ -30,6 +35,12 @@ DIMENSIONS, SEED = 1024, 20240601
 #: 3-gram vectors that a worker keeps (bytes: this times DIMENSIONS).
 KEPT_GRAMS = 40_000
 UNKNOWN = "und"
+#: Share of the labelled rows that a cutoff leaves out of account, and its share of the cosine that the others reach.
+LOSS, SLACK = 0.001, 0.5
+#: Four deviations of the cosine of unrelated vectors.
+NOISE = 4 / DIMENSIONS**0.5
+#: Classes of length: below 32 code points, 128, 512, 2048, and the rest.
+LENGTHS = 5
 #: Code points handled at once; longer batches are split between texts.
 BLOCK = 1_000_000
 
@@ -177,30 +188,59 @@ def classify(docs: DataFrame, prototypes: dict[str, np.ndarray], key: str = "doc
     return _classified(docs.select(key, text), prototypes, [key], text)
 
 
-def in_language(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "text") -> DataFrame:
-    """The documents that aren't undetermined, with all their columns."""
+def length_class(n: int) -> int:
+    """The class of a text of n code points, from 0 to LENGTHS - 1."""
+    return min(LENGTHS - 1, max(0, n.bit_length() - 4) // 2)
+
+
+def calibrate(docs: DataFrame, prototypes: dict[str, np.ndarray], lang: str = "lang", text: str = "text") -> list[float]:
+    """The cutoff of each class of length, from labelled rows that `train` didn't see.
+
+    A class without rows has the cutoff of the next shorter one, or 0.
+    """
+    if not prototypes:
+        return [0.0] * LENGTHS
+    labelled = docs.where(F.col(lang).isNotNull()).select(F.col(text).alias("c0"))
+    found = _classified(labelled, prototypes, [], "c0", "length int, letter boolean").where("letter")
+    reached = {r["length"]: r["score"] for r in found.groupBy("length").agg(F.percentile_approx("score", LOSS, 100_000).alias("score")).collect()}
+    out, last = [], 0.0
+    for k in range(LENGTHS):
+        last = min(NOISE, SLACK * reached[k]) if k in reached else last
+        out.append(last)
+    return out
+
+
+def in_language(docs: DataFrame, prototypes: dict[str, np.ndarray], text: str = "text", cutoffs: list[float] | None = None) -> DataFrame:
+    """The documents with a letter whose score reaches the cutoff of their length, with all their columns.
+
+    Without cutoffs, or without prototypes (nothing can be judged), all with a letter stay.
+    """
     own = docs.columns
     plain = docs.toDF(*(f"c{i}" for i in range(len(own))))  # whatever they are called
-    found = _classified(plain, prototypes, plain.columns, f"c{own.index(text)}")
-    return found.where(F.col("lang_pred") != UNKNOWN).select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(own)))
+    found = _classified(plain, prototypes, plain.columns, f"c{own.index(text)}", "length int, letter boolean")
+    if cutoffs and prototypes:
+        found = found.where(F.col("score") >= F.element_at(F.array(*map(F.lit, cutoffs)), F.col("length") + 1))
+    return found.where("letter").select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(own)))
 
 
-def _classified(docs: DataFrame, prototypes: dict[str, np.ndarray], keep: list[str], text: str) -> DataFrame:
+def _classified(docs: DataFrame, prototypes: dict[str, np.ndarray], keep: list[str], text: str, more: str = "") -> DataFrame:
     names, at = list(prototypes), docs.columns.index(text)
     matrix = np.array([prototypes[k] for k in names], np.float32).reshape(len(names), DIMENSIONS).T
     places = {c: docs.columns.index(c) for c in keep}
 
     def run(batch):
-        vectors, has = bundles(batch.column(at).to_pylist())
+        texts = batch.column(at).to_pylist()
+        vectors, has = bundles(texts)
         norms = np.linalg.norm(vectors, axis=1)
         known = has & (norms > 0) & bool(names)
         cosine = (vectors @ matrix) / np.maximum(norms, 1e-12)[:, None] if names else np.zeros((len(has), 1))
         best = cosine.argmax(axis=1)
         score = np.where(known, np.clip(cosine[np.arange(len(best)), best], 0, 1), 0.0)
         pred = [names[b] if h and names else UNKNOWN for b, h in zip(best, has)]
-        return {"lang_pred": pred, "score": pa.array(score.astype(np.float64)), **{c: batch.column(i) for c, i in places.items()}}
+        lengths = pa.array([length_class(len(t or "")) for t in texts], pa.int32())
+        return {"lang_pred": pred, "score": pa.array(score.astype(np.float64)), "length": lengths, "letter": pa.array(has), **{c: batch.column(i) for c, i in places.items()}}
 
-    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), "lang_pred string", "score double"])
+    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), "lang_pred string", "score double", *([more] if more else [])])
     return map_batches(docs, run, schema)
 
 

@@ -1,9 +1,11 @@
 """The pipeline, stage by stage, against plain Python."""
 
 import hashlib
+import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from flowspark.llm import langid, pii
@@ -36,6 +38,19 @@ def test_stages_against_plain_python(spark):
     assert sorted((r.doc_id, r.ids_sha256) for r in steps["encoding"].collect()) == want
 
 
+def test_language_stage_rejects_by_cosine(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang")
+    n = docs.count()
+    rng = random.Random(1)
+    noise = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz    ") for _ in range(2000)) for _ in range(40)]
+    noise += ["a" + "#%!&" * 5000, "Привет, как дела? Сегодня хорошая погода. " * 20, "12 34"]
+    odd = spark.createDataFrame([(10**6 + i, t, None) for i, t in enumerate(noise)], docs.schema)
+    kept = [r.doc_id for r in corpus_pipeline.language_id(spark, docs.union(odd), SF).collect()]
+    assert len(kept) == n and max(kept) < 10**6
+    unlabelled = docs.union(odd).withColumn("lang", F.lit(None).cast("string"))
+    assert corpus_pipeline.language_id(spark, unlabelled, SF).count() == n + len(noise) - 1
+
+
 def test_every_operator_has_a_query():
     names = {n.split("_")[0] for n in queries()}
     assert names == {f"op{n}" for n in range(1, 11)}
