@@ -14,9 +14,9 @@ whose handling could differ between this code and the tokenizers library goes
 through the library's own normaliser and splitter, never through its encoder.
 
 Defined results: null and empty texts encode to nothing and decode to the empty
-string; repeated rows are encoded one by one; extra columns are ignored.  Whole
-texts are encoded; a word of any length is one walk (time: its length times the
-longest token).
+string; repeated rows are encoded one by one; extra columns are ignored; an empty
+table gives an empty one.  Whole texts are encoded; a word of any length is one
+walk (time: its length times the longest token, memory: its length).
 """
 
 from __future__ import annotations
@@ -25,24 +25,32 @@ import hashlib
 import json
 import unicodedata
 from functools import lru_cache
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
 from .common import map_batches
 
-#: Chunks (text between white space) whose ids a worker keeps, in each of two generations;
-#: nodes of the trie and pairs of tokens that it keeps.  These bound memory, not results.
-CACHED_CHUNKS, KEPT_NODES, KEPT_PAIRS = 120_000, 350_000, 300_000
-#: Longer chunks aren't kept.
-LONGEST_CACHED = 64
+#: Words whose ids a worker keeps, and ids of them; nodes of the trie and pairs of tokens that
+#: it keeps.  These bound memory, not results.
+KEPT_WORDS, KEPT_IDS, KEPT_NODES, KEPT_PAIRS = 250_000, 4_000_000, 350_000, 300_000
+#: Longer words, and nodes of longer prefixes, aren't kept.
+LONGEST_KEPT = DEEPEST = 64
+#: Code points handled at once; longer batches are split between texts.
+BLOCK = 4_000_000
+#: Marks of special tokens, and of words that the library split; neither is in plain text.
+_SPECIAL, _OWN = "\u2028", "\u2029"
 
 #: Characters that normalisation and splitting are known to treat alike here: ASCII but for the
 #: separators 1C-1F, and Latin letters with their marks composed.
 _PLAIN = regex.compile(r"[^\x00-\x1B\x20-\x7E\xA1-\xA9\xAB\xAC\xAE-\xB1\xB4\xB6-\xB8\xBB\xBF-įĲ-ňŊ-ž‐-‧‰-⁞₠-₿]")
 _WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+#: All of these but runs of letters, as a pattern of Arrow's for plain text.
+_BETWEEN = r"('s|'t|'re|'ve|'m|'ll|'d|\p{N}|[^\x09-\x0D\x20\p{L}\p{N}]+)"
 
 
 def _byte_alphabet() -> dict[int, str]:
@@ -77,7 +85,8 @@ class Vocabulary:
         self.longest = max(len(t) for t in self.ids)
         self.stable: dict[int, bool] = {}
         self.spines: tuple[dict, dict] = ({}, {})
-        self.whole: dict[int, bool] = {}
+        known: dict[int, bool] = {}
+        self.whole = {t: i for t, i in self.ids.items() if self._is_whole(i, known)}
 
     def spine(self, token: int, right: int) -> list[tuple[int, float]]:
         """Tokens on the border of `token` while it is being made, each with the rank of the merge that ends it."""
@@ -111,16 +120,16 @@ class Vocabulary:
             self.stable[pair] = out
         return out
 
-    def is_whole(self, token: int) -> bool:
+    def _is_whole(self, token: int, known: dict[int, bool]) -> bool:
         """Whether the symbols of a token merge to that token: its halves do, and no other merge crosses their border first."""
-        if (out := self.whole.get(token)) is None:
+        if (out := known.get(token)) is None:
             if token in self.parts:
                 a, b, _ = self.parts[token]
                 others = ((self.rank.get(x << 20 | y), xe, ye) for x, xe in self.spine(a, 1) for y, ye in self.spine(b, 0) if (x, y) != (a, b))
-                out = self.is_whole(a) and self.is_whole(b) and not any(r is not None and r < xe and r <= ye for r, xe, ye in others)
+                out = self._is_whole(a, known) and self._is_whole(b, known) and not any(r is not None and r < xe and r <= ye for r, xe, ye in others)
             else:
                 out = True
-            self.whole[token] = out
+            known[token] = out
         return out
 
 
@@ -139,129 +148,179 @@ def _library(path: str):
 class Trie:
     """Prefixes of distinct words as nodes, each with the last token of its encoding.
 
-    A node is addressed by its prefix; its value packs the token and the depth at
-    which that token begins.  Words come in sorted order, which is the depth-first
-    order of the trie, so the path to the last node is at hand as a stack.
+    A node is a number; `children` leads from a node and a letter to the next one,
+    `tokens` and `starts` hold each node's last token and the depth at which that
+    token begins.  Words come in sorted order, which is the depth-first order of the
+    trie, so the path to the last node is at hand as a stack.  Nodes deeper than
+    DEEPEST go when their word is done.
     """
 
     def __init__(self, vocab: Vocabulary):
-        self.vocab, self.nodes = vocab, {}
+        self.vocab = vocab
+        self.children: dict[int, int] = {}
+        self.tokens, self.starts = [0], [0]
 
-    def encode(self, words: list[str]) -> dict[str, list[int]]:
+    def encode(self, words) -> dict[str, list[int]]:
         """The ids of every distinct byte-level word."""
-        vocab, nodes, out = self.vocab, self.nodes, {}
-        ids, stable, is_stable, whole, longest, suffix = vocab.ids, vocab.stable, vocab.is_stable, vocab.whole, vocab.longest, vocab.suffix
-        path, previous = [0], ""
+        vocab, children, tokens, starts, out = self.vocab, self.children, self.tokens, self.starts, {}
+        ids, stable, is_stable, longest, suffix = vocab.whole, vocab.stable, vocab.is_stable, vocab.longest, vocab.suffix
+        path, previous = [0], ""  # the nodes of the prefixes
 
-        def last_token(text: str, end: int) -> int:
-            """The node value of a prefix whose own prefixes are on the path; `text` ends with its last symbol."""
-            extended = path[end - 1] & 0xFFFF if end > 1 else 0
+        def step(text: str, end: int, stop: int) -> tuple[int, int]:
+            """Last token, and its start, of the prefix with `end` letters; its symbols are those of text[:stop]."""
+            extended = starts[path[end - 1]]
             for start in (extended, *range(end - 1, max(-1, end - 1 - longest), -1)):
-                token = ids.get(text[start:])
-                if token is not None:
-                    if start:
-                        pair = (path[start] >> 16) << 20 | token
-                        if (fits := stable.get(pair)) is None:
-                            fits = is_stable(pair)
-                    else:
-                        fits = True
-                    if fits and (whole.get(token) or vocab.is_whole(token)):
-                        return token << 16 | start
-            raise ValueError(f"no token ends {text!r}")
+                if (token := ids.get(text[start:stop])) is not None:
+                    if not start:
+                        return token, 0
+                    pair = tokens[path[start]] << 20 | token
+                    if (fits := stable.get(pair)) is None:
+                        fits = is_stable(pair)
+                    if fits:
+                        return token, start
+            raise ValueError(f"no token ends {text[:stop]!r}")
 
         for word in sorted(words):
-            n = len(word)
-            if n > 0xFFFF:  # starts are packed in 16 bits
-                out[word] = self._long(word)
-                continue
+            n, text = len(word), word + suffix
             common, most = 0, min(len(path) - 1, n - 1)
             while common < most and word[common] == previous[common]:
                 common += 1
             del path[common + 1 :]
+            node, kept = path[-1], len(tokens)
             for end in range(common + 1, n):
-                prefix = word[:end]
-                if (value := nodes.get(prefix)) is None:
-                    value = nodes[prefix] = last_token(prefix, end)
-                path.append(value)
-            value = last_token(word + suffix, n)
-            row = [value >> 16]
-            while start := value & 0xFFFF:
-                value = path[start]
-                row.append(value >> 16)
-            out[word] = row[::-1]
+                link = node << 21 | ord(word[end - 1])
+                if (node := children.get(link)) is None:
+                    token, start = step(text, end, end)
+                    node = len(tokens)
+                    tokens.append(token)
+                    starts.append(start)
+                    if end <= DEEPEST:
+                        children[link], kept = node, node + 1
+                path.append(node)
+            token, start = step(text, n, len(text))
+            row = [token]
+            while start:
+                node = path[start]
+                row.append(tokens[node])
+                start = starts[node]
+            row.reverse()
+            out[word] = row
             previous = word
+            if n > DEEPEST:
+                del tokens[kept:], starts[kept:], path[DEEPEST + 1 :]
         return out
 
-    def _long(self, word: str) -> list[int]:
-        """A word too long to pack: the same walk without keeping its nodes."""
-        vocab, n = self.vocab, len(word)
-        path: list[tuple[int, int]] = [(0, 0)]
-        for end in range(1, n + 1):
-            tail = word[max(0, end - vocab.longest) : end] + vocab.suffix * (end == n)
-            for start in range(end - 1, max(-1, end - 1 - vocab.longest), -1):
-                token = vocab.ids.get(tail[start - max(0, end - vocab.longest) :])
-                if token is not None and (not start or vocab.is_stable(path[start][0] << 20 | token)) and vocab.is_whole(token):
-                    path.append((token, start))
-                    break
-        row, at = [], n
-        while at:
-            token, at = path[at]
-            row.append(token)
-        return row[::-1]
+
+class Known:
+    """Token ids of words: a row for each, its ids in one growing array; the most used ones are kept."""
+
+    def __init__(self):
+        self.rows: dict[str, int] = {}
+        self.used = self.start = self.size = np.zeros(0, np.int64)
+        self.ids = np.zeros(0, "<u4")
+
+    def add(self, words: list[str], coded: list[list[int]]) -> np.ndarray:
+        """The rows of new words."""
+        size = np.fromiter(map(len, coded), np.int64, len(coded))
+        first = len(self.start)
+        self.start = np.concatenate([self.start, len(self.ids) + np.cumsum(size) - size])
+        self.size, self.used = np.concatenate([self.size, size]), np.concatenate([self.used, np.zeros(len(size), np.int64)])
+        self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(coded), "<u4", int(size.sum()))])
+        self.rows.update((w, first + i) for i, w in enumerate(words) if len(w) <= LONGEST_KEPT)
+        return np.arange(first, first + len(words))
+
+    def gather(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the rows one after the other, where each row's ids begin, and the end)."""
+        size = self.size[rows]
+        bounds = np.concatenate([[0], np.cumsum(size)])
+        return self.ids[np.repeat(self.start[rows] - bounds[:-1], size) + np.arange(bounds[-1])], bounds
+
+    def shrink(self) -> None:
+        """Keep the most used half of KEPT_WORDS, if there are more or their ids too many."""
+        if len(self.rows) <= KEPT_WORDS and len(self.ids) <= KEPT_IDS:
+            return
+        words, rows = list(self.rows), np.fromiter(self.rows.values(), np.int64, len(self.rows))
+        best = np.argsort(-self.used[rows], kind="stable")[: KEPT_WORDS // 2]
+        kept = rows[best]
+        self.ids, bounds = self.gather(kept)
+        self.rows = {words[k]: i for i, k in enumerate(best.tolist())}
+        self.used, self.start, self.size = self.used[kept] // 2, bounds[:-1], np.diff(bounds)
 
 
 class Encoder:
-    """Encodes texts; keeps the ids of frequent chunks between batches."""
+    """Encodes texts; keeps the ids of frequent words between batches."""
 
     def __init__(self, path: str):
         self.path, self.vocab = path, vocabulary(path)
-        self.trie = Trie(self.vocab)
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.trie, self.known = Trie(self.vocab), Known()
 
     def _pieces(self, text: str) -> list[str]:
         """Byte-level words of a text without special tokens, by the library's own normaliser and splitter."""
         t = _library(self.path)
         return [w for w, _ in t.pre_tokenizer.pre_tokenize_str(t.normalizer.normalize_str(text))] if text else []
 
-    def _encode_words(self, words) -> dict[str, bytes]:
-        if len(self.trie.nodes) > KEPT_NODES:
+    def _marked(self, segments: list[str], plain: list[bool]) -> str:
+        """The words of a text that isn't plain throughout, special tokens and the library's own words marked."""
+        out = []
+        for k, (segment, is_plain) in enumerate(zip(segments, plain)):
+            if k % 2:
+                out.append(f"{_SPECIAL}{self.vocab.added[segment]}")
+            elif is_plain:
+                out += _WORDS.findall(segment.lower())
+            else:
+                out += [_OWN + w for w in self._pieces(segment)]
+        return " ".join(out)
+
+    def _split(self, texts: list[str | None]) -> pa.LargeListArray:
+        """The words of each text."""
+        plain, odd, places = [], [], []
+        for text in texts:
+            segments = self.vocab.split_added.split(text or "") if self.vocab.split_added else [text or ""]
+            fits = [not _PLAIN.search(x) and (x.isascii() or unicodedata.is_normalized("NFC", x)) for x in segments]
+            is_odd = len(segments) > 1 or not fits[0]
+            plain.append("" if is_odd else segments[0].lower())
+            places.append(is_odd)
+            if is_odd:
+                odd.append(self._marked(segments, fits))
+        spaced = pc.replace_substring_regex(pa.array(plain, pa.large_string()), _BETWEEN, r" \1 ")
+        if odd:
+            spaced = pc.replace_with_mask(spaced, pa.array(places), pa.array(odd, pa.large_string()))
+        return pc.ascii_split_whitespace(spaced)
+
+    def _encode_words(self, words: list[str]) -> list[list[int]]:
+        """The ids of distinct words, marked ones among them."""
+        if len(self.trie.tokens) > KEPT_NODES:
             self.trie = Trie(self.vocab)
-        return {w: np.array(ids, "<u4").tobytes() for w, ids in self.trie.encode(words).items()}
+        translation = self.vocab.translation
+        plain = [w[1:] if w[:1] == _OWN else w if w.isascii() and w.isprintable() else w.encode().decode("latin-1").translate(translation) for w in words]
+        coded = self.trie.encode({p for w, p in zip(words, plain) if p and w[0] != _SPECIAL})
+        return [[] if not w else [int(w[1:])] if w[0] == _SPECIAL else coded[p] for w, p in zip(words, plain)]
 
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
-        vocab, rows, slow, words = self.vocab, [], {}, {}
-        if len(self.young) > CACHED_CHUNKS:
-            self.young, self.old = {}, self.young
-        young, old = self.young, self.old
-        used: dict[str, bytes | None] = {}
-        for text in texts:
-            row: list = []
-            segments = vocab.split_added.split(text or "") if vocab.split_added else [text or ""]
-            for k, segment in enumerate(segments):
-                if k % 2:
-                    row.append(np.uint32(vocab.added[segment]).tobytes())
-                elif _PLAIN.search(segment) or not segment.isascii() and not unicodedata.is_normalized("NFC", segment):
-                    pieces = self._pieces(segment)
-                    slow.update(dict.fromkeys(pieces))
-                    row.append((True, pieces))
-                else:
-                    chunks = segment.lower().split()
-                    used.update(dict.fromkeys(chunks))
-                    row.append((False, chunks))
-            rows.append(row)
-        for c in used:
-            if (ids := young.get(c)) is None and (ids := old.get(c)) is None:
-                words[c] = [w.encode().decode("latin-1").translate(vocab.translation) for w in _WORDS.findall(c)]
-            used[c] = ids
-        coded = self._encode_words({*slow, *(w for ws in words.values() for w in ws)})
-        for c, ws in words.items():
-            used[c] = coded[ws[0]] if len(ws) == 1 else b"".join([coded[w] for w in ws])
-        out = [b"".join([x if isinstance(x, bytes) else b"".join(map((coded if x[0] else used).__getitem__, x[1])) for x in row]) for row in rows]
-        young.update((c, ids) for c, ids in used.items() if len(c) <= LONGEST_CACHED)
+        out, start, size = [], 0, 0
+        for end, text in enumerate(texts, 1):
+            size += len(text or "")
+            if size >= BLOCK or end == len(texts):
+                out += self._encode_block(texts[start:end])
+                start, size = end, 0
         return out
 
+    def _encode_block(self, texts: list[str | None]) -> list[bytes]:
+        self.known.shrink()
+        split = self._split(texts)
+        coded = split.flatten().dictionary_encode()
+        words, places = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+        rows = np.fromiter(map(self.known.rows.get, words, repeat(-1)), np.int64, len(words))
+        new = np.flatnonzero(rows < 0)
+        if len(new):
+            own = [words[i] for i in new.tolist()]
+            rows[new] = self.known.add(own, self._encode_words(own))
+        self.known.used[rows] += np.bincount(places, minlength=len(rows))
+        ids, bounds = self.known.gather(rows[places])
+        cuts = bounds[split.offsets.to_numpy() - split.offsets[0].as_py()].tolist()
+        return [ids[a:b].tobytes() for a, b in zip(cuts, cuts[1:])]
+
     def decode(self, ids: bytes) -> str:
         """The text of ids; a vocabulary without a decoder joins its tokens by spaces."""
         return " ".join(map(self.vocab.table.__getitem__, np.frombuffer(ids, "<u4").tolist()))
