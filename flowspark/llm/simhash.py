@@ -23,7 +23,11 @@ n_near counts the other documents within the radius, exact copies among them;
 
 Defined results: null and empty texts have the all-zero fingerprint; ties in a
 bit's vote give 0; `next` goes by ascending (doc_id, text), null ids last, and of
-repeated ids the first row stands for its id; extra columns are ignored.
+repeated ids the first row stands for its id; a row with a null id has no next one;
+extra columns are ignored; an empty table gives an empty one.  Texts of any length
+are hashed whole, in blocks of terms.  The driver holds at most MOST_BUCKETS cut
+points and first ids; beyond that buckets grow with the table, but a task streams
+its bucket and holds two rows of it.
 """
 
 from __future__ import annotations
@@ -225,7 +229,8 @@ def cut_points(docs: DataFrame, key: str) -> list[int]:
     wanted = max(1, min(MOST_BUCKETS, ids.count() // BUCKET_ROWS))
     if wanted == 1:
         return []
-    return sorted({math.ceil(x) for x in ids.approxQuantile("id", [i / wanted for i in range(1, wanted)], 0.25 / wanted)})
+    found = ids.approxQuantile("id", [i / wanted for i in range(1, wanted)], 0.25 / wanted)
+    return sorted({min(math.ceil(x), 2**63 - 1) for x in found})  # doubles round the largest ids up, out of range
 
 
 def with_neighbours(docs: DataFrame, key: str, text: str) -> DataFrame:

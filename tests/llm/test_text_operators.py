@@ -1,14 +1,17 @@
 """The operators that work document by document, against plain Python on odd rows."""
 
 import hashlib
+import math
 import random
 import re
 import time
 import tracemalloc
+from collections import Counter
 
 import numpy as np
 import pyarrow.parquet as pq
 import pytest
+import xxhash
 
 from flowspark.llm import bpe, html_extract, langid, pii, secret_scan, simhash, url_filter
 from flowspark.llm.queries import vocabulary_path
@@ -246,6 +249,56 @@ def test_simhash_neighbours_and_search(spark, monkeypatch):
     assert simhash.report(documents(spark, ["only one"])).count() == 2
 
 
+def _votes(text):
+    """Sums of the signed bits, term by term."""
+    words = WORD.findall(text)
+    mask = 2**64 - 1
+
+    def mix(x):
+        x = ((x ^ x >> 33) * 0xFF51AFD7ED558CCD) & mask
+        x = ((x ^ x >> 29) * 0x9E3779B97F4A7C15) & mask
+        return x ^ x >> 32
+
+    hashes = [xxhash.xxh64_intdigest(w) for w in words]
+    terms = [(h, min(len(w), 8) / 16) for h, w in zip(hashes, words)]
+    terms += [((a * 0x9E3779B97F4A7C15 + (b ^ 0xC2B2AE3D27D4EB4F) * 0xC2B2AE3D27D4EB4F) & mask, 1.0) for a, b in zip(hashes, hashes[1:])]
+    if len(text) < simhash.SHORT:
+        code = [ord(c) for c in text]
+        terms += [(mix((a << 42 ^ b << 28 ^ c << 14 ^ d) & mask), 0.25) for a, b, c, d in zip(code, code[1:], code[2:], code[3:])]
+    counts, weight = Counter(t for t, _ in terms), dict(reversed(terms))
+    out = [0.0] * 128
+    for t, n in counts.items():
+        for lane in range(2):
+            bits = mix((t + (lane + 1) * 0xC2B2AE3D27D4EB4F) & mask).to_bytes(8, "little")
+            for k in range(64):
+                out[64 * lane + k] += (1 if bits[k // 8] >> (7 - k % 8) & 1 else -1) * weight[t] * (1 + math.log(n))
+    return out
+
+
+def test_simhash_fingerprint_is_the_sign_of_the_votes():
+    rng = random.Random(12)
+    for text in ("a", "one two three four five six", "é😀 ß " * 30, " ".join(f"w{rng.randrange(50)}" for _ in range(500))):
+        mark = int.from_bytes(simhash.Hasher().fingerprint(text))
+        for k, vote in enumerate(_votes(text)):
+            assert abs(vote) < 1e-3 or (mark >> 127 - k & 1) == (vote > 0)
+
+
+def test_simhash_odd_ids(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "BUCKET_ROWS", 2)
+    rows = [(2**63 - 1, "last of all"), (2**63 - 2, "before it"), (-(2**63), "first text"), (5, "b twice"), (5, "a twice"), (None, "nobody"), (None, None)]
+    got = simhash.report(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert len(got) == len(rows)
+    order = ["first text", "a twice", "b twice", "before it", "last of all"]
+    want = {}
+    for t, following in zip(order, [*order[1:], order[0]]):
+        want[simhash.Hasher().fingerprint(t).hex()] = hashlib.sha256((t[: len(t) - len(t) // 4] + following[: len(t) // 4]).encode()).hexdigest()
+    for r in got:
+        if r.doc_id is not None:
+            assert r.edited_sha256 == want[r.fingerprint]
+        else:
+            assert r.near_next is None and r.edited_fingerprint == r.fingerprint
+
+
 def test_block_tables_find_all_pairs(spark):
     rng = random.Random(8)
     base = [rng.getrandbits(128) for _ in range(12)]
