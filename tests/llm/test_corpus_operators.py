@@ -65,6 +65,68 @@ def test_near_duplicates_odd_tables(spark):
     assert sorted((r.doc_id or -1, r.component_id, r.kept) for r in lsh_forest.report(null_id).collect()) == [(-1, 3, False), (3, 3, True)]
 
 
+def test_near_duplicates_among_boilerplate(spark, monkeypatch):
+    """Texts that share three quarters of their words in a row, and planted pairs among them."""
+    monkeypatch.setattr(lsh_forest, "BLOCK", 8)
+    monkeypatch.setattr(lsh_forest, "CHUNK", 16)
+    rng = random.Random(3)
+    common = [f"c{rng.randrange(10**6)}" for _ in range(120)]
+    texts, pairs = {}, set()
+    for k in range(120):
+        own = common + [f"u{rng.randrange(10**6)}" for _ in range(rng.choice([12, 25, 40]))]
+        texts[len(texts)] = " ".join(own)
+        if k % 6 == 0:
+            at = rng.randrange(len(own) - 4)
+            own[at] = "changed"
+            pairs.add((len(texts) - 1, len(texts)))
+            texts[len(texts)] = " ".join(own)
+    want, _ = _links(texts, 85, 3)
+    got = {r.doc_id: r.component_id for r in lsh_forest.near_duplicates(documents(spark, list(texts.values()), repeat=False)).collect()}
+    assert got == want and all(want[a] == want[b] for a, b in pairs)
+
+
+def test_neighbours_meet_across_partitions(spark):
+    """Two rows with equal labels are candidates wherever partitions are cut."""
+    tool = lsh_forest.Shingler(3)
+    rows = []
+    for i in range(60):
+        labels, sketch = lsh_forest.signature(tool.shingles([b"w%d" % (100 * (i // 2) + k) for k in range(30)]))
+        rows.append((i, bytearray(labels), bytearray(sketch)))
+    frame = spark.createDataFrame(rows, "id bigint, labels binary, sketch binary")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "59")
+    try:
+        found = {(r.a, r.b): r.n for r in lsh_forest.neighbours(frame, 85).collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert found.keys() == {(2 * k, 2 * k + 1) for k in range(30)} and all(n >= lsh_forest.TREES for n in found.values())
+
+
+def test_rows_that_repeat_or_lack_an_id(spark):
+    long = " ".join(f"w{k}" for k in range(60))
+    near, other = long.replace("w30", "x"), " ".join(f"v{k}" for k in range(60))
+    rows = [(5, long, "a"), (5, other, "b"), (5, other, "c"), (3, near, "d"), (None, long.upper(), "e"), (None, "only here now yes", "f"), (None, "only here now yes", "f"), (7, None, "g"), (7, " ", "h"), (None, "", "i")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, k0 string")
+    got = sorted((r.doc_id or -1, r.component_id or -1, r.kept) for r in lsh_forest.near_duplicates(docs, 80, 5).collect())
+    assert got == sorted([(5, 3, False), (5, 5, True), (5, 5, True), (3, 3, True), (-1, 3, False), (-1, -1, False), (-1, -1, False), (7, 7, True), (7, 7, True), (-1, -1, False)])
+    kept = sorted(r.k0 for r in lsh_forest.deduplicated(docs).collect())
+    assert kept == ["b", "d", "f", "g", "h", "i"]
+    assert lsh_forest.deduplicated(docs).columns == docs.columns
+    assert lsh_forest.deduplicated(docs.where("false")).count() == 0
+
+
+def test_filters_follow_the_limit():
+    for percent in (80, 85):
+        t, d = percent / 100, lsh_forest.shared_prefix(percent)
+        assert (1 - t**d) ** lsh_forest.TREES <= lsh_forest.MISSED < (1 - t ** (d + 1)) ** lsh_forest.TREES
+        for n in (32, 192):
+            k = lsh_forest.least_equal(n, percent)
+            tail = lambda k: sum(math.comb(n, i) * t**i * (1 - t) ** (n - i) for i in range(k))  # noqa: E731, B023
+            assert tail(k) <= lsh_forest.MISSED < tail(k + 1)
+
+
 def test_components_of_a_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(1, 200) if i != 100] + [(5, 5)], "a bigint, b bigint")
     got = {r.id: r.component for r in lsh_forest.components(edges).collect()}
