@@ -19,11 +19,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: five-word shingles, similarity 0.8 or more."""
-    kept = stored(lsh_forest.near_duplicates(docs, percent=80, size=5).where("kept").select("doc_id"), "kept")
-    # the kept ids grow with the corpus, so both sides are exchanged by id at every size
-    out = docs.join(kept.hint("merge"), "doc_id", "left_semi").select(*docs.columns)
-    repeated = not kept.groupBy("doc_id").count().where("count > 1").isEmpty()
-    return out.dropDuplicates(["doc_id"]) if repeated else out  # rows that repeat an id are one document
+    return lsh_forest.deduplicated(docs, percent=80, size=5)
 
 
 def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
