@@ -1,20 +1,23 @@
 """Quality rules: thresholds with a controlled risk, as DataFrame expressions only.
 
 A rule is a statistic of a text that is large for bad texts, with a fixed grid of
-cutoffs.  On the labelled documents of a stratum (language) the cutoffs of a rule
-are tested from the loosest to the tightest: cutoff c is accepted if the exact
-binomial tail P(Bin(n, alpha / rules) <= k) is at most delta / tests, where n
-counts the stratum's good documents and k those above c; testing stops at the
-first cutoff that fails.  This fixed order needs no correction inside a rule
-(stopping controls it); the Bonferroni factor `tests` = strata x rules corrects
-between rules and strata.  With probability 1 - delta no stratum then loses more
-than a share alpha of its good documents.  A rule without an accepted cutoff
-rejects nothing.
+cutoffs from loose to tight.  All rules tighten together: step j of a stratum
+(language) rejects a text whose statistic is above the j-th cutoff of any rule.  On
+the stratum's labelled documents the steps are tested from the loosest on: step j is
+accepted if the exact binomial tail P(Bin(n, alpha) <= k) is at most delta / strata,
+where n counts the good documents and k those that the step rejects; testing stops at
+the first step that fails.  This fixed order needs no correction inside a stratum
+(stopping controls it, and the steps' losses are nested); the Bonferroni factor
+corrects between strata.  With probability 1 - delta no stratum then loses more than
+a share alpha of its good documents.  A stratum needs log(delta / strata) /
+log(1 - alpha) good labels (217 of four strata); without an accepted step it has no
+cutoffs, and only the base rules reject.
 
 Defined results: a null text has no words and fails the base rules; documents
 without a language form a stratum of their own; a stratum without labels has no
-rules; labels that repeat for a document count once, with the lower quality;
-repeated documents are judged one by one; other columns are ignored.  Texts of
+cutoffs; labels that repeat for a document count once, with the lower quality;
+repeated documents are judged one by one; a statistic at its cutoff passes; other
+columns, of documents and of labels, are ignored; empty tables give an empty one.  Texts of
 any length are judged whole, in time n log n in their words.
 """
 
@@ -26,13 +29,13 @@ from pyspark.sql import functions as F
 from .common import let, prepare, stored, words_of
 
 #: Share of good documents that a stratum may lose, and the chance that some stratum loses more.
-ALPHA, DELTA = 0.05, 0.05
+ALPHA, DELTA = 0.02, 0.05
 
 
 _STEPS = tuple(round(0.8 - 0.025 * i, 3) for i in range(32))  # 0.8 to 0.025
-#: Cutoffs of each rule, from loose to tight.
+#: Cutoffs of each rule, from loose to tight; one of each makes a step.
 GRIDS: dict[str, tuple[float, ...]] = {
-    "symbols": (*_STEPS, 0.01), "duplicate_lines": _STEPS, "repeated_words": _STEPS, "capitals": _STEPS, "word_length": tuple(20 - 0.5 * i for i in range(32)),
+    "symbols": _STEPS, "duplicate_lines": _STEPS, "repeated_words": _STEPS, "capitals": _STEPS, "word_length": tuple(20 - 0.5 * i for i in range(32)),
 }
 #: The two counts whose quotient is each rule's statistic.
 PARTS = {
@@ -101,34 +104,30 @@ def log_tail(n: Column, k: Column, p: Column) -> Column:
 
 
 def cutoffs(rows: DataFrame, labels: DataFrame, alpha: float = ALPHA, delta: float = DELTA, key: str = "doc_id") -> DataFrame:
-    """(stratum, rule, n_good, cutoff, n_lost) of every rule that a stratum has a cutoff for."""
-    rules = _rules()
+    """(stratum, n_good, step, n_lost) of every stratum with an accepted step."""
     good = labels.groupBy(key).agg(F.min("quality").alias("quality")).where("quality = 1").select(key)
-    held = rows.join(good, key)
-    # place of the tightest grid cutoff that still rejects the document, counted from the loosest; above all: 0
-    level = lambda value, grid: F.size(F.filter(F.array(*map(F.lit, map(float, grid))), lambda c: c >= value))
-    bins = held.select("stratum", F.explode(F.array(*(F.struct(F.lit(name).alias("rule"), level(value, grid).alias("level")) for name, (value, grid) in rules.items()))).alias("x"))
-    bins = bins.groupBy("stratum", "x.rule", "x.level").agg(F.count("*").alias("n"))
-    totals = bins.groupBy("stratum", "rule").agg(F.sum("n").alias("n_good"), F.collect_list(F.struct("level", "n")).alias("levels"))
-    grids = F.create_map(*(x for name, (_, grid) in rules.items() for x in (F.lit(name), F.array(*map(F.lit, map(float, grid))))))
-    tried = totals.select("stratum", "rule", "n_good", "levels", F.posexplode(F.element_at(grids, F.col("rule"))).alias("place", "cutoff"))
-    tried = tried.withColumn("n_lost", F.aggregate(F.filter("levels", lambda x: x["level"] <= F.col("place")), F.lit(0).cast("long"), lambda a, x: a + x["n"])).drop("levels")
-    risk = F.lit(alpha / len(rules))
-    tests = Window.partitionBy(F.lit(1))
-    counted = tried.withColumn("tests", F.size(F.collect_set(F.struct("stratum", "rule")).over(tests)))
-    fits = (F.col("n_lost") <= risk * F.col("n_good")) & (log_tail(F.col("n_good"), F.least(F.col("n_lost"), F.ceil(risk * F.col("n_good"))), risk) <= F.log(F.lit(delta) / F.col("tests")))
-    order = Window.partitionBy("stratum", "rule").orderBy("place")
-    accepted = counted.withColumn("fits", fits).withColumn("all_fit", F.min("fits").over(order)).where("all_fit")
-    return accepted.groupBy("stratum", "rule", "n_good").agg(F.max_by("cutoff", "place").alias("cutoff"), F.max("n_lost").alias("n_lost"))
-
-
-def judge(rows: DataFrame, chosen: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    # the first step that rejects the document: of each rule, how many cutoffs are not below its value
+    passed = lambda value, grid: F.size(F.filter(F.array(*map(F.lit, map(float, grid))), lambda c: c >= value))
+    first = F.least(*(passed(value, grid) for value, grid in _rules().values()))
+    bins = rows.join(good, key).select("stratum", first.alias("first")).groupBy("stratum", "first").agg(F.count("*").alias("n"))
+    strata = bins.groupBy("stratum").agg(F.sum("n").alias("n_good"), F.collect_list(F.struct("first", "n")).alias("bins"))  # a bin a step at most
+    strata = strata.withColumn("tests", F.count("*").over(Window.partitionBy(F.lit(1))))  # a row a stratum
+    tried = strata.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(len(_STEPS) - 1))))
+    tried = tried.withColumn("n_lost", F.aggregate(F.filter("bins", lambda x: x["first"] <= F.col("step")), F.lit(0).cast("long"), lambda a, x: a + x["n"]))
+    n, k, risk = F.col("n_good"), F.col("n_lost"), F.lit(alpha)
+    fits = (k <= risk * n) & (log_tail(n, F.least(k, F.ceil(risk * n)), risk) <= F.log(F.lit(delta) / F.col("tests")))
+    order = Window.partitionBy("stratum").orderBy("step")
+    accepted = tried.withColumn("fits", fits).withColumn("all_fit", F.min("fits").over(order)).where("all_fit")
+    return accepted.groupBy("stratum", "n_good").agg(F.max("step").alias("step"), F.max("n_lost").alias("n_lost"))
+
+
+def judge(rows: DataFrame, chosen: DataFrame) -> DataFrame:
     """Adds base_failed, n_failed (rules above their cutoffs) and kept to the rows of `features`."""
-    rules = _rules()
-    limits = chosen.groupBy("stratum").agg(*(F.max(F.when(F.col("rule") == name, F.col("cutoff"))).alias(f"cut_{name}") for name in rules)).withColumnRenamed("stratum", "of")
-    failed = sum((F.coalesce((value > F.col(f"cut_{name}")).cast("int"), F.lit(0)) for name, (value, _) in rules.items()), F.lit(0))
+    limits = chosen.select(F.col("stratum").alias("of"), "step")
+    above = lambda value, grid: F.when(F.col("step").isNull(), 0).when(value > F.get(F.array(*map(F.lit, map(float, grid))), F.col("step")), 1).otherwise(0)
+    failed = sum((above(value, grid) for value, grid in _rules().values()), F.lit(0))
     out = rows.join(limits, F.col("stratum").eqNullSafe(F.col("of")), "left").withColumn("base_failed", base_failed()).withColumn("n_failed", failed)
-    return out.withColumn("kept", ~F.col("base_failed") & (F.col("n_failed") == 0)).drop("of", *(f"cut_{n}" for n in rules))
+    return out.withColumn("kept", ~F.col("base_failed") & (F.col("n_failed") == 0)).drop("of", "step")
 
 
 def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -141,9 +140,9 @@ def report(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def oracle_sql() -> str:
     """The same in DuckDB's SQL."""
-    grid = ", ".join(f"('{name}', {place}, {float(c)})" for name, cs in GRIDS.items() for place, c in enumerate(cs))
+    grid = ", ".join(f"('{name}', {step}, {float(c)})" for name, cs in GRIDS.items() for step, c in enumerate(cs))
     values = " UNION ALL ".join(f"SELECT doc_id, n, stratum, '{name}' AS rule, {a}::DOUBLE / greatest({b}, 1) AS x FROM f" for name, (a, b) in PARTS.items())
-    p = ALPHA / len(GRIDS)
+    p = ALPHA
     return rf"""
 WITH w AS (
   SELECT doc_id, row_number() OVER () AS n, coalesce(lang, chr(1)) AS stratum, coalesce(text, '') AS t,
@@ -159,18 +158,18 @@ f AS (
          length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, length(regexp_replace(t, '[^A-Z]', '', 'g'))::BIGINT AS n_capitals,
          (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, len(ls)::BIGINT AS n_lines, coalesce(c, 0)::BIGINT AS n_repeat_words
   FROM w LEFT JOIN covered ON covered.n = w.n),
-grid(rule, place, cutoff) AS (VALUES {grid}),
+grid(rule, step, cutoff) AS (VALUES {grid}),
 x AS ({values}),
 good AS (SELECT doc_id FROM labels GROUP BY doc_id HAVING min(quality) = 1),
-tried AS (
-  SELECT stratum, rule, place, cutoff::DOUBLE AS cutoff, count(*) AS n, count(*) FILTER (x > cutoff) AS k FROM x JOIN good USING (doc_id) JOIN grid USING (rule) GROUP BY ALL),
-tests AS (SELECT count(*) AS m FROM (SELECT DISTINCT stratum, rule FROM tried)),
+rejected AS (SELECT stratum, n, step, bool_or(x > cutoff) AS lost FROM x JOIN good USING (doc_id) JOIN grid USING (rule) GROUP BY ALL),
+tried AS (SELECT stratum, step, count(*) AS n, count(*) FILTER (lost) AS k FROM rejected GROUP BY ALL),
+tests AS (SELECT count(DISTINCT stratum) AS m FROM tried),
 tail AS (
   SELECT *, CASE WHEN k > {p} * n THEN 1.0 ELSE list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({p}) + (n - i) * ln(1 - {p})))) END AS chance
   FROM tried),
-fits AS (SELECT *, bool_and(chance <= {DELTA} / (SELECT m FROM tests)) OVER (PARTITION BY stratum, rule ORDER BY place ROWS UNBOUNDED PRECEDING) AS fits FROM tail),
-cuts AS (SELECT stratum, rule, arg_max(cutoff, place) AS cutoff FROM fits WHERE fits GROUP BY stratum, rule),
-failed AS (SELECT x.n, count(*) AS c FROM x JOIN cuts USING (stratum, rule) WHERE x > cutoff GROUP BY x.n)
+fits AS (SELECT *, bool_and(chance <= {DELTA} / (SELECT m FROM tests)) OVER (PARTITION BY stratum ORDER BY step ROWS UNBOUNDED PRECEDING) AS fits FROM tail),
+cuts AS (SELECT stratum, max(step) AS step FROM fits WHERE fits GROUP BY stratum),
+failed AS (SELECT x.n, count(*) AS c FROM x JOIN cuts USING (stratum) JOIN grid USING (rule, step) WHERE x > cutoff GROUP BY x.n)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
        NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND coalesce(c, 0) = 0 AS kept, coalesce(c, 0)::INTEGER AS rules_failed
 FROM f LEFT JOIN failed ON failed.n = f.n

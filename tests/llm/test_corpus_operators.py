@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from flowspark.llm import lsh_forest, mixing, quality_rules
 from tests.llm.test_text_operators import ODD, WORD, documents
@@ -155,35 +156,70 @@ def test_quality_features(spark):
 
 def test_quality_cutoffs_follow_the_exact_bound(spark):
     rng = random.Random(4)
-    rows = [(i, "en", 100, 500, rng.choice([0] * 300 + [60, 200]), 0, 0, 10, 5) for i in range(4000)]
+    rows = [(i, "en", 100, 500, rng.choice([0] * 300 + [60, 200]), 0, 0, 10, rng.choice([5] * 400 + [450])) for i in range(4000)]
+    rows += [(5000 + i, "de", 100, 500, 0, 0, 0, 10, 5) for i in range(80)]  # too few labels
     frame = spark.createDataFrame(rows, "doc_id bigint, stratum string, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, n_lines bigint, n_capitals bigint")
-    labels = spark.createDataFrame([(i, 1) for i in range(4000)] + [(3, 1), (None, 1)], "doc_id bigint, quality int")
-    got = {r.rule: (r.cutoff, r.n_lost, r.n_good) for r in quality_rules.cutoffs(frame, labels).collect()}
-    rules = quality_rules._rules()
-    risk, limit = quality_rules.ALPHA / len(rules), quality_rules.DELTA / len(rules)
+    labels = spark.createDataFrame([(r[0], 1, "clash") for r in rows] + [(3, 1, "x"), (7, 0, "x"), (None, 1, "x")], "doc_id bigint, quality int, stratum string")
+    got = {r.stratum: (r.step, r.n_lost, r.n_good) for r in quality_rules.cutoffs(frame, labels.drop("stratum")).collect()}
+    limit = quality_rules.DELTA / 2
 
     def tail(k, n, p):
         return sum(math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p)) for i in range(k + 1))
 
-    best = None
-    for c in rules["symbols"][1]:
-        lost = sum(r[4] / 500 > c for r in rows)
-        if lost > risk * 4000 or tail(lost, 4000, risk) > limit:
+    good, best = [r for r in rows if r[1] == "en" and r[0] != 7], None
+    for step in range(32):
+        cut = {name: grid[step] for name, grid in quality_rules.GRIDS.items()}
+        lost = sum(r[4] / 500 > cut["symbols"] or r[8] / 500 > cut["capitals"] or 5 > cut["word_length"] for r in good)
+        if lost > quality_rules.ALPHA * len(good) or tail(lost, len(good), quality_rules.ALPHA) > limit:
             break
-        best = (c, lost, 4000)
-    assert got["symbols"] == best
-    assert got["duplicate_lines"][1] == 0
-
-
-def test_mixing_targets():
+        best = (step, lost, len(good))
+    assert got == {"en": best} and best[1] > 0
+    judged = {r.doc_id: r for r in quality_rules.judge(frame, quality_rules.cutoffs(frame, labels)).collect()}
+    cut = {name: grid[best[0]] for name, grid in quality_rules.GRIDS.items()}
+    for r in rows:
+        n = sum([r[4] / 500 > cut["symbols"], r[8] / 500 > cut["capitals"], 5 > cut["word_length"]]) if r[1] == "en" else 0
+        assert (judged[r[0]].n_failed, judged[r[0]].kept) == (n, n == 0)
+
+
+def test_quality_sql_with_accepted_cutoffs(spark):
+    """The statement and the query agree where cutoffs reject; sf0.01 has them for one language."""
+    duckdb = pytest.importorskip("duckdb")
+    folder = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{folder}/{n}.parquet") for n in ("documents", "labels"))
+    rows = quality_rules.features(docs).cache()
+    assert quality_rules.cutoffs(rows, labels).count() >= 1
+    base = duckdb.connect()
+    for n in ("documents", "labels"):
+        base.execute(f"CREATE VIEW {n} AS SELECT * FROM '{folder}/{n}.parquet'")
+    got = quality_rules.report(docs, labels)
+    names = got.columns
+    want = sorted(base.execute(f"SELECT {', '.join(names)} FROM ({quality_rules.oracle_sql()})").fetchall())
+    assert sorted(map(tuple, got.collect())) == want
+    assert any(r.rules_failed and not r.base_failed for r in got.collect())
+
+
+def test_mixing_targets(spark):
     shares = {"a": 0.7, "b": 0.2, "c": 0.1, "none": 0.0}
-    x = mixing.bisect_exponent(shares, repeats=2.0)
-    w = mixing.weights(shares, x)
-    epochs = {k: w[k] / shares[k] for k in "abc"}
-    assert max(epochs.values()) / min(epochs.values()) == pytest.approx(2.0, abs=1e-9)
-    y = mixing.bisect_exponent(shares, target_entropy=1.0)
-    assert mixing.entropy(mixing.weights(shares, y)) == pytest.approx(1.0, abs=1e-9)
-    assert mixing.bisect_exponent({}, 2.0) == 1.0 and mixing.bisect_exponent({"a": 1.0}, 2.0) == 0.0
+    x = mixing.repeat_exponent(0.1, 0.7, 2.0)
+    epochs = [p**x / p for p in shares.values() if p]
+    assert max(epochs) / min(epochs) == pytest.approx(2.0, abs=1e-9)
+    frame = spark.createDataFrame(list(shares.items()), "s string, p double")
+    y = mixing.entropy_exponent(frame, 1.0)
+    raised = [p**y for p in shares.values() if p]
+    assert -sum(r / sum(raised) * math.log(r / sum(raised)) for r in raised) == pytest.approx(1.0, abs=1e-9)
+    assert mixing.repeat_exponent(1.0, 1.0, 2.0) == 0.0 and mixing.entropy_exponent(frame, 9.0) == 0.0 and mixing.entropy_exponent(frame, 0.0) == 1.0
+
+
+def test_mixing_many_sources_and_clashing_names(spark):
+    rows = [(i, "w " * (1 + i % 5), f"s{i % 3000}", i, "x", 2.0, "y", 1) for i in range(9000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string, _mix bigint, _mix_plan string, _mix_digest double, stratum string, mix int")
+    out = mixing.realised(docs)
+    assert out.columns == docs.columns and {r.doc_id for r in out.select("doc_id").collect()} == set(range(9000))
+    assert sorted(map(tuple, out.distinct().collect())) == sorted(map(tuple, docs.collect()))
+    assert mixing.mixed(docs).columns == [c for c in docs.columns if c != "_mix"] + ["_mix"]
+    assert mixing.sources(docs.select(mixing.stratum("source"), mixing.n_tokens(F.col("text")).alias("n_tokens"))).count() == 3000
+    flat = mixing.sources(docs.select(mixing.stratum("source"), mixing.n_tokens(F.col("text")).alias("n_tokens")), target_entropy=99.0).collect()
+    assert max(r.weight for r in flat) == pytest.approx(min(r.weight for r in flat))
 
 
 def test_mixing_meets_the_budget(spark):
