@@ -4,11 +4,13 @@ All of it is DataFrame expressions.  A pattern's matches and the pieces between
 them come from one regular expression (extract and split walk the same matches),
 so positions are running sums of lengths, in code points.  A kind's candidates
 must pass its validator (Luhn for cards, mod-97 for IBANs, the value range of IP
-parts, numbers of digits); context words in the 40 code points before a span
-raise its score, and kinds that are ambiguous alone (`ssn`, `local_phone`) only
-pass the threshold with such a word.
+parts, numbers of digits); context words in the REACH code points before a span or
+after it raise its score, and kinds that are ambiguous alone (`ssn`, `local_phone`)
+only pass the threshold with such a word.  These windows are cut from the text, so
+they hold whatever stands there, other spans among it; a word that a window's outer
+end cuts counts by what is left of it.
 
-Defined results: a null text has no spans; spans at one start go in the order of
+Defined results: a null text has no spans; an empty table gives an empty one; spans at one start go in the order of
 KINDS; the base kinds never overlap themselves but may overlap others, and
 `redact` replaces a run of overlapping spans by the mark of its first one;
 repeated rows are handled one by one; other columns are left as they are.
@@ -27,8 +29,8 @@ from .common import let, prepare
 
 BASE = ("email", "ip", "card", "phone")
 THRESHOLD = 0.5
-#: Code points before a span in which context words count.
-REACH = 40
+#: Code points before and after a span in which context words count, and the pieces that a text is cut into to find them.
+REACH, PIECE = 40, 64
 
 
 def _digits(value: Column) -> Column:
@@ -87,15 +89,23 @@ KINDS = (
 _SPAN = "array<struct<start:int,place:int,end:int,kind:string,score:double,value:string>>"
 
 
+def _window(pieces: Column, low: Column, high: Column) -> Column:
+    """Code points [low, high) of a text that is cut into pieces; high is at most REACH beyond low."""
+    first = F.floor(low / PIECE).cast("int")
+    near = F.concat(*(F.coalesce(F.get(pieces, first + i), F.lit("")) for i in range(REACH // PIECE + 2)))
+    return F.substring(near, (low - first * PIECE + 1).cast("int"), (high - low).cast("int"))
+
+
 def _candidates(text: Column, place: int, kind: Kind) -> Column:
     """Spans of one kind, confirmed and scored."""
     pattern = F.lit(kind.pattern)
 
-    def spans(found: Column, pieces: Column) -> Column:
+    def spans(found: Column, pieces: Column, cut: Column) -> Column:
         def add(acc, x):
             start = acc["at"] + F.length(x["piece"])
             end = start + F.length(x["value"])
-            score = F.lit(kind.score) + F.when(F.lower(F.right(x["piece"], F.lit(REACH))).rlike(kind.context), F.lit(kind.bonus)).otherwise(F.lit(0.0))
+            around = F.lower(F.concat(_window(cut, F.greatest(start - REACH, F.lit(0)), start), F.lit("\n"), _window(cut, end, end + REACH)))
+            score = F.lit(kind.score) + F.when(around.rlike(kind.context), F.lit(kind.bonus)).otherwise(F.lit(0.0))
             span = F.struct(start.alias("start"), F.lit(place).alias("place"), end.alias("end"), F.lit(kind.name).alias("kind"), score.alias("score"), x["value"].alias("value"))
             keep = kind.valid(x["value"]) & (score >= THRESHOLD)
             return F.struct(end.alias("at"), F.when(keep, F.concat(acc["spans"], F.array(span))).otherwise(acc["spans"]).alias("spans"))
@@ -103,7 +113,7 @@ def _candidates(text: Column, place: int, kind: Kind) -> Column:
         joined = F.zip_with(found, F.slice(pieces, F.lit(1), F.size(found)), lambda v, p: F.struct(v.alias("value"), p.alias("piece")))
         return F.aggregate(joined, F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("spans")), add, lambda acc: acc["spans"])
 
-    matched = let(F.regexp_extract_all(text, pattern, F.lit(0)), lambda found: F.when(F.size(found) == 0, F.array().cast(_SPAN)).otherwise(spans(found, F.split(text, kind.pattern, -1))))
+    matched = let(F.regexp_extract_all(text, pattern, F.lit(0)), lambda found: F.when(F.size(found) == 0, F.array().cast(_SPAN)).otherwise(let(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0)), lambda cut: spans(found, F.split(text, kind.pattern, -1), cut))))
     return F.when(F.contains(text, F.lit(kind.hint)) if kind.hint else F.lit(True), matched).otherwise(F.array().cast(_SPAN))
 
 
