@@ -10,13 +10,21 @@ every document is used at least once, so that mixing drops nothing.
 Whole epochs take every document.  The rest of an epoch takes a prefix of a
 permutation: documents lie in hashed blocks, blocks and the documents in them are
 in the order of their digests, and the prefix ends at the last document that fits
-the source's budget.  Only block totals are summed along the order, so a source
-with a third of all rows is no larger a task than any other.
+the source's budget.  Totals are summed along that order in three levels (the first
+PREFIX digits of the block's digest, blocks, documents), so that no task sorts a
+source: at most 16 ** PREFIX totals, then the blocks behind one prefix, then one block.
+
+Sources may be any number: their totals, shares and weights stay a table, and each
+step of the bisection is an aggregate of it (many exponents at once), so the driver
+holds a few numbers.  Spark broadcasts the table of sources if it is small by its
+measured size, and else exchanges both sides.
 
 Defined results: documents without a source are a source of their own; a null or
 empty text has no tokens and goes with its place in the permutation; rows that
 repeat an id and text are taken together; with no tokens at all every document is
-used once; extra columns stay as they are.
+used once; texts of any length are counted whole; extra columns stay as they are,
+whatever they are called (`mixed` replaces a column `_mix`); an empty table gives an
+empty one.
 """
 
 from __future__ import annotations
@@ -30,42 +38,47 @@ from .common import SPACES, prepare, stored
 
 #: How often a source may be repeated against the least repeated one; documents of a block, about.
 REPEATS, BLOCK_ROWS = 2.0, 200
-#: Sources that the driver weighs (a row each); more are an error.
-MOST_SOURCES = 100_000
-STEPS = 60
+#: Hexadecimal digits of the blocks' order that totals are first summed by.
+PREFIX = 3
+#: Steps of the bisection; exponents that one aggregate tries (each such round is worth log2(TRIED + 1) steps).
+STEPS, TRIED = 60, 31
 
 
-def weights(shares: dict[str, float], exponent: float) -> dict[str, float]:
-    """Shares to the power of `exponent`, normalised; sources without tokens weigh nothing."""
-    raised = {k: p**exponent if p > 0 else 0.0 for k, p in shares.items()}
-    total = math.fsum(raised.values())
-    return {k: v / total for k, v in raised.items()} if total else raised
+def repeat_exponent(least: float, most: float, repeats: float) -> float:
+    """The least exponent from 0 to 1 that repeats no source more than `repeats` times as often as another; shares of the extremes are given."""
+    low, high = 0.0, 1.0
+    fits = lambda x: (1 - x) * math.log(most / least) <= math.log(repeats)
+    if fits(low):
+        return low
+    for _ in range(STEPS):
+        middle = (low + high) / 2
+        low, high = (low, middle) if fits(middle) else (middle, high)
+    return high
 
 
-def entropy(shares: dict[str, float]) -> float:
-    """In nats."""
-    return -math.fsum(p * math.log(p) for p in shares.values() if p > 0)
+def entropies(shares: DataFrame, exponents: list[float]) -> list[float]:
+    """Entropy in nats of the shares `p` (above 0) raised to each exponent and normalised."""
+    sums = [x for e in exponents for x in (F.sum(F.pow("p", F.lit(e))), F.sum(F.pow("p", F.lit(e)) * F.log("p")))]
+    row = shares.where("p > 0").agg(*(x.alias(f"s{i}") for i, x in enumerate(sums))).first()
+    return [math.log(row[2 * i]) - e * row[2 * i + 1] / row[2 * i] for i, e in enumerate(exponents)]
 
 
-def bisect_exponent(shares: dict[str, float], repeats: float | None = REPEATS, target_entropy: float | None = None) -> float:
-    """The least exponent from 0 to 1 that keeps the repetition limit, or the one whose entropy meets the target.
+def entropy_exponent(shares: DataFrame, target: float) -> float:
+    """The exponent from 0 to 1 whose entropy meets the target; one out of reach gives the nearer end.
 
-    Repetition falls with the exponent, and so does entropy, so bisection finds
-    either; a target out of reach gives the nearer end.
+    Entropy falls with the exponent.  Every round tries TRIED exponents in one aggregate.
     """
-    used = [p for p in shares.values() if p > 0]
-    if not used:
-        return 1.0
-    if target_entropy is not None:
-        fits = lambda x: entropy(weights(shares, x)) <= target_entropy
-    else:
-        fits = lambda x: (1 - x) * math.log(max(used) / min(used)) <= math.log(repeats)
-    if fits(0.0):
-        return 0.0
     low, high = 0.0, 1.0
-    for _ in range(STEPS):
-        middle = (low + high) / 2
-        low, high = (low, middle) if fits(middle) else (middle, high)
+    at_low, at_high = entropies(shares, [low, high])
+    if at_low <= target:
+        return low
+    if at_high > target:
+        return high
+    for _ in range(math.ceil(STEPS / math.log2(TRIED + 1))):
+        tried = [low + (high - low) * (i + 1) / (TRIED + 1) for i in range(TRIED)]
+        inside = [x for x, h in zip(tried, entropies(shares, tried)) if h > target]
+        above = [x for x in tried if x not in inside]
+        low, high = max([low, *inside]), min([high, *above])
     return high
 
 
@@ -82,33 +95,52 @@ def _number(digest: Column, first: int) -> Column:
     return F.conv(F.substring(digest, first, 8), 16, 10).cast("long")
 
 
-def plan(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", repeats: float | None = REPEATS, target_entropy: float | None = None, budget: float | None = None, seed: int = 0) -> DataFrame:
-    """A row for each source (`stratum`): weight, epochs, n_blocks, whole, last_block, last_order and last_digest."""
-    spark = prepare(docs.sparkSession)
-    rows = docs.select(stratum(source), digest(key, text, seed), n_tokens(F.col(text)).alias("n_tokens"))
-    rows = stored(rows, "tokens")
-    totals = rows.groupBy("stratum").agg(F.count("*").alias("n"), F.sum("n_tokens").alias("tokens")).limit(MOST_SOURCES + 1).collect()
-    if len(totals) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources")
-    tokens = {r["stratum"]: r["tokens"] for r in totals}
-    everything = sum(tokens.values())
-    shares = {k: v / everything if everything else 0.0 for k, v in tokens.items()}
-    weight = weights(shares, bisect_exponent(shares, repeats, target_entropy))
+def sources(rows: DataFrame, repeats: float | None = REPEATS, target_entropy: float | None = None, budget: float | None = None) -> DataFrame:
+    """(stratum, weight, epochs, n_blocks, whole, rest) of every source of `rows` (stratum, n_tokens)."""
+    totals = stored(rows.groupBy("stratum").agg(F.count("*").alias("n"), F.sum("n_tokens").alias("tokens")), "totals")
+    everything = totals.agg(F.sum("tokens").alias("t")).first()["t"] or 0
+    shares = totals.withColumn("p", F.col("tokens") / F.lit(float(max(everything, 1))))
+    ends = shares.where("p > 0").agg(F.min("p").alias("least"), F.max("p").alias("most")).first()
+    if not ends["least"]:
+        exponent = 1.0
+    elif target_entropy is not None:
+        exponent = entropy_exponent(shares, target_entropy)
+    else:
+        exponent = repeat_exponent(ends["least"], ends["most"], repeats)
+    raised = shares.withColumn("r", F.when(F.col("p") > 0, F.pow("p", F.lit(exponent))).otherwise(F.lit(0.0)))
+    total = raised.agg(F.sum("r").alias("r")).first()["r"] or 1.0
+    weighed = stored(raised.withColumn("weight", F.col("r") / F.lit(float(total))), "weights")
     if budget is None:
-        budget = max((tokens[k] / w for k, w in weight.items() if w > 0), default=0.0)
+        budget = weighed.where("weight > 0").agg(F.max(F.col("tokens") / F.col("weight")).alias("b")).first()["b"] or 0.0
     # the division must not make an exact number of epochs a hair less
-    epochs = {k: round(weight[k] * budget / tokens[k], 9) if tokens[k] else 1.0 for k in tokens}
-    base = [(r["stratum"], weight[r["stratum"]], epochs[r["stratum"]], max(1, math.ceil(r["n"] / BLOCK_ROWS)), math.floor(epochs[r["stratum"]]), math.floor((epochs[r["stratum"]] - math.floor(epochs[r["stratum"]])) * r["tokens"])) for r in totals]
-    sources = spark.createDataFrame(base, "stratum string, weight double, epochs double, n_blocks long, whole long, rest long")
-    placed = rows.join(F.broadcast(sources), "stratum").where("rest > 0").withColumn("block", block())
-    along = placed.groupBy("stratum", "rest", "block").agg(F.sum("n_tokens").alias("t")).withColumn("order", block_order("stratum", "block", seed))
-    along = along.withColumn("before", F.sum("t").over(Window.partitionBy("stratum").orderBy("order")) - F.col("t"))
-    cut = along.where((F.col("before") <= F.col("rest")) & (F.col("before") + F.col("t") > F.col("rest"))).select("stratum", "block", "order", (F.col("rest") - F.col("before")).alias("left"))
-    cut = stored(cut, "cuts")
-    inside = placed.join(F.broadcast(cut), ["stratum", "block"]).groupBy("stratum", "order", "left", "digest").agg(F.sum("n_tokens").alias("t"))
+    epochs = F.when(F.col("tokens") > 0, F.round(F.col("weight") * F.lit(float(budget)) / F.col("tokens"), 9)).otherwise(F.lit(1.0))
+    whole = F.floor("epochs")
+    return weighed.withColumn("epochs", epochs).select(
+        "stratum", "weight", "epochs", F.greatest(F.lit(1), F.ceil(F.col("n") / BLOCK_ROWS)).cast("long").alias("n_blocks"),
+        whole.alias("whole"), F.floor((F.col("epochs") - whole) * F.col("tokens")).alias("rest"),
+    )
+
+
+def plan(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: int = 0, **target) -> DataFrame:
+    """A row for each source (`stratum`): weight, epochs, n_blocks, whole, rest, last_order and last_digest."""
+    prepare(docs.sparkSession)
+    rows = stored(docs.select(stratum(source), digest(key, text, seed), n_tokens(F.col(text)).alias("n_tokens")), "tokens")
+    chosen = stored(sources(rows, **target), "sources")
+    placed = rows.join(chosen.where("rest > 0"), "stratum").withColumn("block", block())
+    along = placed.groupBy("stratum", "rest", "block").agg(F.sum("n_tokens").alias("t")).withColumn("order", block_order("stratum", "block", seed)).withColumn("prefix", F.substring("order", 1, PREFIX))
+    along = stored(along, "blocks")
+
+    def cut(totals: DataFrame, order: str, *given: str) -> DataFrame:
+        """The total in which each source's budget ends, and what is left of the budget there."""
+        totals = totals.withColumn("before", F.sum("t").over(Window.partitionBy("stratum", *given).orderBy(order)) - F.col("t"))
+        return totals.where((F.col("before") <= F.col("rest")) & (F.col("before") + F.col("t") > F.col("rest"))).withColumn("rest", F.col("rest") - F.col("before")).drop("before", "t")
+
+    prefixes = cut(along.groupBy("stratum", "rest", "prefix").agg(F.sum("t").alias("t")), "prefix")
+    blocks = stored(cut(along.drop("rest").join(prefixes, ["stratum", "prefix"]), "order", "prefix").select("stratum", "block", "order", F.col("rest").alias("left")), "cuts")
+    inside = placed.join(blocks, ["stratum", "block"]).groupBy("stratum", "order", "left", "digest").agg(F.sum("n_tokens").alias("t"))
     fits = inside.withColumn("upto", F.sum("t").over(Window.partitionBy("stratum").orderBy("digest"))).where(F.col("upto") <= F.col("left"))
     last = fits.groupBy("stratum").agg(F.max("digest").alias("last_digest"))
-    return sources.join(cut.select("stratum", F.col("order").alias("last_order")), "stratum", "left").join(last, "stratum", "left")
+    return chosen.join(blocks.select("stratum", F.col("order").alias("last_order")), "stratum", "left").join(last, "stratum", "left")
 
 
 def stratum(source: str = "source") -> Column:
@@ -124,29 +156,35 @@ def block() -> Column:
     return _number(F.col("digest"), 25) % F.col("n_blocks")
 
 
-def block_order(stratum: str, block: str, seed: int) -> Column:
-    return _digest(F.lit(seed).cast("string"), F.col(stratum), F.col(block).cast("string"))
+def block_order(stratum: str, block: str | Column, seed: int) -> Column:
+    return _digest(F.lit(seed).cast("string"), F.col(stratum), (F.col(block) if isinstance(block, str) else block).cast("string"))
+
+
+def _copied(docs: DataFrame, key: str, text: str, source: str, seed: int, target: dict) -> DataFrame:
+    """The documents with columns c0, c1, ..., whatever they are called, and `mix`: struct<weight, epochs, copies>."""
+    choice = stored(plan(docs, key, text, source, seed=seed, **target), "plan")
+    rows = docs.toDF(*(f"c{i}" for i in range(len(docs.columns))))
+    name = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    rows = rows.withColumn("digest", digest(name[key], name[text], seed)).withColumn("own", stratum(name[source]))
+    rows = rows.join(choice, F.col("own") == F.col("stratum"))
+    order = block_order("stratum", block(), seed)
+    inside = (order < F.col("last_order")) | ((order == F.col("last_order")) & (F.col("digest") <= F.coalesce("last_digest", F.lit(""))))
+    copies = (F.col("whole") + F.coalesce(inside, F.lit(False)).cast("int")).cast("long")
+    return rows.select(*name.values(), F.struct("weight", "epochs", copies.alias("copies")).alias("mix"))
 
 
 def mixed(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: int = 0, **target) -> DataFrame:
     """The documents and `_mix`: struct<weight, epochs, copies>, copies being how often the mixture has each."""
     own = docs.columns
-    choice = plan(docs, key, text, source, seed=seed, **target)
-    choice = choice.select(F.struct(*choice.columns).alias("_mix_plan"))
-    rows = docs.withColumn("_mix_digest", digest(key, text, seed))
-    # one row a source, at most MOST_SOURCES of them
-    rows = rows.join(F.broadcast(choice), stratum(source) == F.col("_mix_plan.stratum"))
-    place = F.col("_mix_plan")
-    order = _digest(F.lit(seed).cast("string"), place["stratum"], (_number(F.col("_mix_digest"), 25) % place["n_blocks"]).cast("string"))
-    more = F.when(place["last_order"].isNull(), F.lit(0)).when(order < place["last_order"], 1).when((order == place["last_order"]) & (F.col("_mix_digest") <= F.coalesce(place["last_digest"], F.lit(""))), 1).otherwise(0)
-    copies = (place["whole"] + more).cast("long")
-    return rows.select(*(F.col(f"`{c}`") for c in own), F.struct(place["weight"].alias("weight"), place["epochs"].alias("epochs"), copies.alias("copies")).alias("_mix"))
-
-
-def realised(docs: DataFrame, **options) -> DataFrame:
+    out = _copied(docs, key, text, source, seed, target)
+    return out.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(own) if c != "_mix"), F.col("mix").alias("_mix"))
+
+
+def realised(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: int = 0, **target) -> DataFrame:
     """The mixture: every document as often as its copies, with the columns of `docs`."""
-    out = mixed(docs, **options).where("_mix.copies > 0")
-    return out.withColumn("_mix", F.explode(F.sequence(F.lit(1), F.col("_mix.copies").cast("int")))).drop("_mix")
+    own = docs.columns
+    out = _copied(docs, key, text, source, seed, target).where("mix.copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("mix.copies").cast("int"))))
+    return out.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(own)))
 
 
 def report(docs: DataFrame) -> DataFrame:
