@@ -31,10 +31,12 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a local one only where none is set (tests)."""
+    """The folder of spark.checkpoint.dir; a local one only where none is set on a local master (tests)."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
     spark.conf.set("spark.checkpoint.dir", "file:///tmp/checkpoints")
     return "file:///tmp/checkpoints"
 
@@ -61,6 +63,21 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def shared_file(spark: SparkSession, content: bytes, name: str) -> str:
+    """Write bytes to a file of the shared folder and hand it to all executors; its name there, for SparkFiles.get."""
+    name = f"{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark).rstrip('/')}/{name}"
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(where)
+    for start in range(0, len(content), 8 << 20):
+        out.write(bytearray(content[start : start + (8 << 20)]))
+    out.close()
+    atexit.register(_remove, spark, path)
+    spark.sparkContext.addFile(path)
+    return name
+
+
 def map_batches(df: DataFrame, function, schema: str) -> DataFrame:
     """mapInArrow with a function from one record batch to columns by name.
 

@@ -1,34 +1,35 @@
 """URL filters: a sorted digest array, probed by vectorised binary search.
 
 A rule is a host and a path prefix (`example.com/en/`) with a verdict.  The
-64-bit xxhash keys of all rules form one sorted array that each worker maps into
-memory; the candidate keys of a batch of URLs (host suffixes x the path lengths
-that occur in rules) are looked up in it with numpy's binary search, and every
-hit is confirmed against the stored rule string, so that a collision of digests
-can't decide a verdict.  The longest fitting rule wins.
+64-bit xxhash keys of all rules form one sorted array: a file in the shared folder,
+which Spark hands to every executor and each worker maps into memory, however many
+rules there are.  The candidate keys of a batch of URLs (host suffixes of as many
+labels as rules have x the path lengths that occur in rules) are looked up in it with
+numpy's binary search, and every hit is confirmed against the stored rule string, so
+that a collision of digests can't decide a verdict.  The longest fitting rule wins.
 
 Defined results: a null URL, or one without `://`, has an empty host and path,
 fits no rule and is blocked; a URL that no rule fits is allowed.  Repeated rows
-are judged one by one.  Hosts keep ports and user names, as the contract says.
+are judged one by one; of rules that repeat the last one holds; other columns are
+ignored; an empty table gives an empty one.  Hosts keep ports and user names, as the
+contract says.  URLs of any length take time linear in it, as only the last labels of
+a host can fit.
 """
 
 from __future__ import annotations
 
 import mmap
-import os
 import re
-import tempfile
 
 import numpy as np
 import xxhash
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 
-from .common import map_batches
+from .common import map_batches, shared_file
 
 #: The rules of the contract: verdict, rule.
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
-#: Bytes of a digest array (keys, offsets, strings) that may be shipped with the tasks.
-MAX_SHIPPED = 64 << 20
 
 _UPPER = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 _HOST_END = re.compile(r"[/?#]")
@@ -49,13 +50,15 @@ def split_url(url: str | None) -> tuple[str, str]:
 class DigestArray:
     """Rules as sorted 64-bit keys with the full strings beside them.
 
-    `to_bytes` is the file's content; `mapped` writes it to an unlinked file of
-    the worker and maps it, so that the pages are shared and leave nothing behind.
+    `to_bytes` is the file's content; `mapped` maps a file, so that the workers of a
+    machine share its pages.
     """
 
     def __init__(self, keys: np.ndarray, offsets: np.ndarray, strings, allow: np.ndarray):
         self.keys, self.offsets, self.strings, self.allow = keys, offsets, strings, allow
-        self.path_lengths = sorted({len(self.rule(i)[1]) for i in range(len(keys))})
+        rules = [self.rule(i) for i in range(len(keys))]
+        self.path_lengths = sorted({len(path) for _, path in rules})
+        self.labels = max((host.count(".") + 1 for host, _ in rules), default=0)
 
     @classmethod
     def build(cls, rules) -> DigestArray:
@@ -69,14 +72,9 @@ class DigestArray:
         return np.uint64(len(self.keys)).tobytes() + self.keys.tobytes() + self.offsets.tobytes() + self.allow.tobytes() + bytes(self.strings)
 
     @classmethod
-    def mapped(cls, content: bytes) -> DigestArray:
-        fd, path = tempfile.mkstemp()
-        try:
-            os.write(fd, content)
-            view = mmap.mmap(fd, 0, access=mmap.ACCESS_READ)
-        finally:
-            os.close(fd)
-            os.unlink(path)
+    def mapped(cls, path: str) -> DigestArray:
+        with open(path, "rb") as f:
+            view = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
         n = int(np.frombuffer(view, np.uint64, 1)[0])
         keys = np.frombuffer(view, np.uint64, n, 8)
         offsets = np.frombuffer(view, np.uint64, n + 1, 8 + 8 * n)
@@ -107,32 +105,28 @@ class DigestArray:
         return out
 
 
-def candidates(host: str, path: str, path_lengths) -> list[str]:
-    """Every rule string that could fit: host suffixes at dots, path prefixes."""
-    hosts, at = [host], host.find(".")
-    while at >= 0:
-        hosts.append(host[at + 1 :])
-        at = host.find(".", at + 1)
+def candidates(host: str, path: str, path_lengths, labels: int) -> list[str]:
+    """Every rule string that could fit: host suffixes of up to `labels` labels, path prefixes."""
+    parts = host.rsplit(".", labels)
+    hosts = [".".join(parts[-k:]) for k in range(1, min(labels, len(parts)) + 1)]
     prefixes = [path[:n] for n in path_lengths if n <= len(path)]
     return [h + p for h in hosts for p in prefixes if h]
 
 
 def judge(pages: DataFrame, rules=RULES, key: str = "page_id", url: str = "url") -> DataFrame:
     """`key`, host, path, rule and verdict of every row."""
-    content = DigestArray.build(rules).to_bytes()
-    if len(content) > MAX_SHIPPED:
-        raise ValueError(f"{len(content)} bytes of rules; at most {MAX_SHIPPED} are shipped with the tasks")
+    name = shared_file(pages.sparkSession, DigestArray.build(rules).to_bytes(), "rules")
     kind = pages.schema[key].dataType.simpleString()
     cache: list = []
 
     def run(batch):
         if not cache:
-            cache.append(DigestArray.mapped(content))
+            cache.append(DigestArray.mapped(SparkFiles.get(name)))
         array = cache[0]
         parts = [split_url(u) for u in batch.column(1).to_pylist()]
         probes, owner = [], []
         for i, (host, path) in enumerate(parts):
-            own = candidates(host, path, array.path_lengths)
+            own = candidates(host, path, array.path_lengths, array.labels)
             probes += own
             owner += [i] * len(own)
         best = [-1] * len(parts)
