@@ -169,7 +169,7 @@ def test_secret_links_on_a_planted_corpus():
     rng = random.Random(21)
     letters = "ABCDEFGHJKLMNPQRSTUVWXYZabcdefghjkmnpqrstuvwxyz23456789"
     weak = lambda: "Aa1" + "".join(rng.choice(letters) for _ in range(rng.randint(20, 60)))
-    anchors = [lambda: f"client_id = w{rng.randrange(999)}", lambda: f"see https://h{rng.randrange(99)}.example/v1", lambda: "AKIA" + "".join(rng.choice("ABCDEFGH234") for _ in range(16)), lambda: f"user: u{rng.randrange(999)}"]
+    anchors = [lambda: f"client_id = w{rng.randrange(100, 999)}", lambda: f"see https://h{rng.randrange(99)}.example/v1", lambda: "AKIA" + "".join(rng.choice("ABCDEFGH234") for _ in range(16)), lambda: f"user: u{rng.randrange(100, 999)}"]
     prose = lambda: " ".join(rng.choice(["plain", "words", "of", "a", "text", "Numbers", "1234"]) for _ in range(rng.randint(1, 30)))
     hits = misses = false = 0
     for _ in range(1500):
