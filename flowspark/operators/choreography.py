@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from ..plans.compiler import Scope, evaluate, variables_of
 from ..plans.parser import parse_expression
+from ..session import checkpointed
 from . import values as V
 from .values import Value, let
 
@@ -142,11 +143,11 @@ def callbacks(registers: DataFrame, answers: DataFrame, timeout_ms: int, keep: t
     """
     left = registers.where("token IS NOT NULL").select("trace", "token", "ts", "event_id", F.lit(0).alias("kind"), *keep)
     right = answers.select("trace", "token", "ts", "event_id", F.lit(1).alias("kind"), *(F.lit(None).cast(registers.schema[k].dataType).alias(k) for k in keep))
-    order = Window.partitionBy("trace", "token").orderBy("ts", "kind", "event_id")
-    rest = order.rowsBetween(1, Window.unboundedFollowing)
+    # from the end of time backwards, so that what follows is a running frame and costs one step a row
+    later = Window.partitionBy("trace", "token").orderBy(F.desc("ts"), F.desc("kind"), F.desc("event_id")).rowsBetween(Window.unboundedPreceding, -1)
     both = left.unionByName(right)
-    following = F.first(F.when(F.col("kind") == 1, F.struct("ts", "event_id")), ignorenulls=True).over(rest)
-    again = F.first(F.when(F.col("kind") == 0, F.col("ts")), ignorenulls=True).over(rest)
+    following = F.last(F.when(F.col("kind") == 1, F.struct("ts", "event_id")), ignorenulls=True).over(later)
+    again = F.last(F.when(F.col("kind") == 0, F.col("ts")), ignorenulls=True).over(later)
     rows = both.withColumn("answer", following).withColumn("again", again).where("kind = 0")
     deadline = F.least(F.col("ts") + timeout_ms, F.coalesce("again", F.col("ts") + timeout_ms))
     in_time = F.coalesce(F.col("answer.ts") <= deadline, F.lit(False)) & F.coalesce(F.col("answer.ts") < F.col("again"), F.lit(True))
@@ -233,13 +234,21 @@ class FlowGraph:
         return {"vertices": vertices, "edges": [{"from": a, "to": b, "kind": k} for a, b, k in sorted(self.edges)]}
 
 
-def reachable(edges: DataFrame, start: str = "source", end: str = "target", most: int = 64) -> DataFrame:
-    """(start, end, hops): shortest distances between all vertices of an edge table, as one recursive query."""
-    spark = edges.sparkSession
-    name = f"edges_{id(edges)}"
-    edges.select(F.col(start).alias("a"), F.col(end).alias("b")).distinct().createOrReplaceTempView(name)
-    walk = f"""WITH RECURSIVE paths(a, b, hops) AS (
-      SELECT a, b, 1 FROM {name} UNION ALL
-      SELECT p.a, e.b, p.hops + 1 FROM paths p JOIN {name} e ON p.b = e.a WHERE p.hops < {most})
-    SELECT a AS {start}, b AS {end}, CAST(min(hops) AS BIGINT) AS hops FROM paths GROUP BY a, b"""
-    return spark.sql(walk)
+def reachable(edges: DataFrame, start: str = "source", end: str = "target") -> DataFrame:
+    """(start, end, hops): shortest distances between all vertices that a path joins, a vertex and itself among them if it is on a cycle.
+
+    Distances double: what is 2 ** k + h hops apart (h at most 2 ** k) has a middle
+    2 ** k hops from the start, so round k joins the pairs found last with all pairs.
+    A round that finds nothing new ends it, after the logarithm of the longest
+    distance.  Edges that miss an end, and repeated ones, count for nothing.
+    """
+    known = checkpointed(edges.select(F.col(start).alias("a"), F.col(end).alias("b")).where("a IS NOT NULL AND b IS NOT NULL").distinct().withColumn("hops", F.lit(1).cast("bigint")))
+    reach = 1
+    while True:
+        far = known.where(F.col("hops") == reach).select("a", F.col("b").alias("middle"))
+        near = known.select(F.col("a").alias("middle"), "b", "hops")
+        found = far.join(near, "middle").groupBy("a", "b").agg((F.min("hops") + reach).alias("hops"))
+        new = checkpointed(found.join(known, ["a", "b"], "left_anti"))
+        if new.isEmpty():
+            return known.select(F.col("a").alias(start), F.col("b").alias(end), "hops")
+        known, reach = checkpointed(known.unionByName(new)), 2 * reach

@@ -29,13 +29,15 @@ class Service:
 
 
 class TableService(Service):
-    """Looks a row up by `key`, whose values are unique; the answer is one column or a struct of several.
+    """Looks a row up by `key`; the answer is one column or a struct of several.
 
-    No row gives null.  `rename` is the argument that holds the key.
+    No row gives null.  Of several rows with one key the answer is the least, so that
+    no event is multiplied; `unique` says that there are none, and saves the
+    aggregation.  `argument` is the name of the argument that holds the key.
     """
 
-    def __init__(self, table: DataFrame, key: str, columns: str | list[str], argument: str | None = None):
-        self.table, self.key, self.columns, self.argument = table, key, columns, argument or key
+    def __init__(self, table: DataFrame, key: str, columns: str | list[str], argument: str | None = None, unique: bool = False):
+        self.table, self.key, self.columns, self.argument, self.unique = table, key, columns, argument or key, unique
 
     def apply(self, df, args, out, guard):
         wanted = args[self.argument]
@@ -43,6 +45,8 @@ class TableService(Service):
         side = self.table.select(F.col(self.key).alias(f"{out}_key"), answer.alias(out))
         if isinstance(side.schema[out].dataType, (T.IntegerType, T.ShortType, T.ByteType)):
             side = side.withColumn(out, F.col(out).cast("bigint"))
+        if not self.unique:
+            side = side.where(F.col(f"{out}_key").isNotNull()).groupBy(f"{out}_key").agg(F.min(out).alias(out))
         test = wanted.col == F.col(f"{out}_key")
         if guard is not None:
             test = test & guard
@@ -101,8 +105,6 @@ class PythonService(Service):
 def render(template: str, args: dict[str, Value]) -> Value:
     """A template with `${name}` replaced by URL-encoded arguments; one that is missing is a failure."""
     parts, err, at = [], None, 0
-
-
     for m in re.finditer(r"\$\{([^}]*)\}", template):
         parts.append(F.lit(template[at : m.start()]))
         v = args.get(m[1])

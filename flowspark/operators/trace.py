@@ -15,6 +15,7 @@ from ..plans.compiler import Scope, evaluate, variables_of
 from ..plans.flow import Library, Plan, Planner, plan_flow
 from ..plans.parser import parse_flow
 from ..plans.tree import Assign, Flow, Node
+from ..session import checkpointed
 from . import values as V
 from .values import Value
 
@@ -115,16 +116,7 @@ def iterate(df: DataFrame, flow: str, library: Library | None, keys: tuple[str,
         got = plan.select(*keys, **out).withColumn("depth", F.lit(depth).cast("bigint"))
         results = got if results is None else results.unionByName(got)
         following = plan.schedule(*keys).select(*keys, F.from_json("argument", argument).alias("a")).select(*keys, "a.*")
-        rows = (store or _checkpoint)(following)
+        rows = (store or checkpointed)(following)
         depth += 1
         if rows.isEmpty():
             return results
-
-
-def _checkpoint(df: DataFrame) -> DataFrame:
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", "/tmp/checkpoints"))
-    return df.checkpoint()
-
-

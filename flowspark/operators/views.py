@@ -205,8 +205,17 @@ def project(source: Value | View, key: Callable[[Value, Path], Value]) -> View:
     one = lambda r: key(Value(r["v"], inner.type), Path(r["i"], inner.kinds))
     kind = _index_of(one(F.lit(None).cast(typed)), F.lit(0))[1]
     keyed = F.transform(inner.records, lambda r, j: F.struct(F.concat(F.slice(r["i"], 1, len(outer)), F.array(_index_of(one(r), j)[0])).alias("i"), r["v"].alias("v")))
-    groups = let(keyed, lambda k: F.transform(F.array_distinct(F.transform(k, lambda r: r["i"])), lambda g: F.struct(g.alias("i"), F.transform(F.filter(k, lambda r: r["i"] == g), lambda r: r["v"]).alias("v"))))
-    return View(groups, (*outer, kind), T.ArrayType(inner.type), inner.root, inner.err)
+    order = lambda k: F.sort_array(F.transform(k, lambda r, j: F.struct(r["i"].alias("i"), j.alias("j"))))
+    members = lambda k, s, run: F.transform(F.slice(s, run["at"] + 1, run["n"]), lambda x: F.get(k, x["j"])["v"])
+    cut = lambda k, s: F.transform(_runs(s, lambda x: x["i"]), lambda run: F.struct(F.get(s, run["at"])["i"].alias("i"), members(k, s, run).alias("v")))
+    groups = let(keyed, lambda k: let(order(k), lambda s: cut(k, s)))
+    return View(groups, (*outer, kind), T.ArrayType(inner.type), inner.root, inner.err, True)
+
+
+def _runs(items: Column, key: Callable[[Column], Column]) -> Column:
+    """array<struct<at, n>>: where runs of neighbours with equal keys begin, and how long they are."""
+    starts = F.filter(F.transform(items, lambda x, p: F.when((p == 0) | ~key(F.get(items, p - 1)).eqNullSafe(key(x)), p)), lambda p: p.isNotNull())
+    return let(starts, lambda s: F.transform(s, lambda p, q: F.struct(p.alias("at"), (F.coalesce(F.get(s, q + 1), F.size(items)) - p).alias("n"))))
 
 
 def merge(a: View, b: View) -> View:
@@ -219,7 +228,15 @@ def merge(a: View, b: View) -> View:
         return x.records if x.type == t else F.transform(x.records, lambda r: F.struct(r["i"].alias("i"), cast_to(Value(r["v"], x.type), t).alias("v")))
 
     left, right = widened(a), widened(b)
-    both = let(right, lambda s: F.concat(F.filter(left, lambda r: ~F.exists(s, lambda q: q["i"] == r["i"])), s))
+    if a.unique:  # sorted together, a left record with a right one of its index stands just before it
+        tagged = lambda x, side: F.transform(x, lambda r, j: F.struct(r["i"].alias("i"), F.lit(side).alias("side"), j.alias("j")))
+        kept = lambda s: F.filter(s, lambda x, p: (x["side"] == 1) | ~F.coalesce(F.get(s, p + 1)["i"] == x["i"], F.lit(False)))
+        pick = lambda m, n: F.transform(let(F.sort_array(F.concat(tagged(m, 0), tagged(n, 1))), kept), lambda x: F.when(x["side"] == 1, F.get(n, x["j"])).otherwise(F.get(m, x["j"])))
+        both = let(left, lambda m: let(right, lambda n: pick(m, n)))
+        if b.unique:
+            return View(both, a.kinds, t, a.root, errors, True, True)
+    else:
+        both = let(right, lambda s: F.concat(F.filter(left, lambda r: ~F.exists(s, lambda q: q["i"] == r["i"])), s))
     return View(_sorted(both, t), a.kinds, t, a.root, errors, True, a.unique and b.unique)
 
 
@@ -269,21 +286,26 @@ def fold(view: View) -> Value:
         if not kinds:
             return F.get(records, F.lit(0))["v"], view.type
         _, inner = level(F.array(F.struct(F.array().cast(T.ArrayType(INDEX)).alias("i"), F.lit(None).alias("v"))), kinds[1:])
-        below = lambda h: level(F.transform(F.filter(records, lambda r: F.get(r["i"], F.lit(0)) == h), lambda r: F.struct(F.slice(r["i"], 2, F.size(r["i"])).alias("i"), r["v"].alias("v"))), kinds[1:])[0]
-        heads = F.array_distinct(F.transform(records, lambda r: F.get(r["i"], F.lit(0))))
+        head = lambda r: F.get(r["i"], F.lit(0))
+        named = lambda h: F.coalesce(h["n"], h["p"].cast("string"))
         if len(kinds) == 1 and view.unique:
             if kinds[0] != FIELD:
                 return F.transform(records, lambda r: r["v"]), T.ArrayType(inner)
-            named = lambda h: F.coalesce(h["n"], h["p"].cast("string"))
-            return F.map_from_entries(F.transform(records, lambda r: F.struct(named(F.get(r["i"], F.lit(0))).alias("key"), r["v"].alias("value")))), T.MapType(TEXT, inner)
-        if len(kinds) == 1:  # the last of equal indices
-            below = lambda h: F.element_at(F.filter(records, lambda r: F.get(r["i"], F.lit(0)) == h), -1)["v"]
-            if kinds[0] != FIELD and not view.type == VOID:
-                return F.transform(heads, below), T.ArrayType(inner)
-        if kinds[0] == FIELD:
-            entries = F.transform(heads, lambda h: F.struct(F.coalesce(h["n"], h["p"].cast("string")).alias("key"), below(h).alias("value")))
-            return F.map_from_entries(entries), T.MapType(TEXT, inner)
-        return F.transform(heads, below), T.ArrayType(inner)
+            return F.map_from_entries(F.transform(records, lambda r: F.struct(named(head(r)).alias("key"), r["v"].alias("value")))), T.MapType(TEXT, inner)
+
+        def below(own: Column, run: Column) -> Column:
+            if len(kinds) == 1:  # the last of equal indices
+                return F.get(own, run["at"] + run["n"] - 1)["v"]
+            part = F.transform(F.slice(own, run["at"] + 1, run["n"]), lambda r: F.struct(F.slice(r["i"], 2, F.size(r["i"])).alias("i"), r["v"].alias("v")))
+            return let(part, lambda some: level(some, kinds[1:])[0])
+
+        def build(own: Column) -> Column:
+            runs = _runs(own, head)
+            if kinds[0] == FIELD:
+                return F.map_from_entries(F.transform(runs, lambda u: F.struct(named(head(F.get(own, u["at"]))).alias("key"), below(own, u).alias("value"))))
+            return F.transform(runs, lambda u: below(own, u))
+
+        return let(records, build), T.MapType(TEXT, inner) if kinds[0] == FIELD else T.ArrayType(inner)
 
     ordered = view.records if view.ordered else _sorted(view.records, view.type)
     kind = level(F.array(F.struct(F.array().cast(T.ArrayType(INDEX)).alias("i"), F.lit(None).alias("v"))), view.kinds)[1]
@@ -306,12 +328,22 @@ def merge_relations(a: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:
 
 
 def group_relation(rows: DataFrame, keys: list[str], by: str) -> DataFrame:
-    """Q6 across rows: lists of v by `by`; keys that are neither text nor number never group together."""
+    """Grouping across rows: lists of v by `by`, in the order of the places i0, i1, ... that `relation` gave.
+
+    Keys that are neither text nor number never group together.
+    """
     t = rows.schema[by].dataType
     index = F.col(by).cast("int") if is_number(t) else F.col(by)
-    if t == TEXT or is_number(t):
-        return rows.withColumn(by, index).groupBy(*keys, by).agg(F.collect_list("v").alias("v"))
-    return rows.select(*keys, F.monotonically_increasing_id().alias(by), F.array("v").alias("v"))
+    if t != TEXT and not is_number(t):
+        return rows.select(*keys, F.monotonically_increasing_id().alias(by), F.array("v").alias("v"))
+    places = [c for c in rows.columns if c[:1] == "i" and c[1:].isdigit() and c not in (*keys, by)]
+    row = F.struct(*places, "v") if places else F.struct("v")
+    if _orderable(rows.schema["v"].dataType):
+        lists = F.sort_array(F.collect_list(row)) if places else F.collect_list(row)
+    else:
+        place = lambda x: F.struct(*(x[c] for c in places))
+        lists = F.array_sort(F.collect_list(row), lambda x, y: F.when(place(x) < place(y), -1).when(place(x) > place(y), 1).otherwise(0)) if places else F.collect_list(row)
+    return rows.withColumn(by, index).groupBy(*keys, by).agg(F.transform(lists, lambda x: x["v"]).alias("v"))
 
 
 # -- navigation

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.udfs import load, python_function, visible
+from .operators import values as V
 from .operators import views as W
 from .operators.choreography import Experiment, Group, Subscription, bucket, callbacks, reachable, subscribed, trace_id, with_plan
 from .operators.services import PythonService, RemoteService, SinkService, TableService
@@ -22,7 +23,7 @@ from .operators.trace import iterate, run_traces
 from .plans.compiler import compile_node, compiled, scope_of, select, variables_of
 from .plans.flow import Library, plan_flow
 from .plans.parser import parse_expression
-from .session import prepare
+from .session import prepare, shared_folder
 from .sources.events import extracted, parsed, with_trace
 from .sources.sinks import to_messages
 
@@ -222,13 +223,13 @@ def view_group_anon(spark, sf_dir):
     return select(order_docs(spark, sf_dir), ["l_orderkey"], n_groups="(@items[/(_.l_quantity > 25)][-]).length()")
 
 
-@query("SELECT l_orderkey, l_returnflag AS key, count(*) AS n, sum(l_partkey)::BIGINT AS parts FROM lineitem GROUP BY ALL")
+@query(LI + "SELECT l_orderkey, l_returnflag AS key, count(*) AS n, string_agg(l_partkey::VARCHAR, ',' ORDER BY rn) AS parts FROM li GROUP BY ALL")
 def view_group_relation(spark, sf_dir):
-    """The same grouping across rows: a view as a relation, grouped by an exchange."""
+    """The same grouping across rows: a view as a relation, grouped by an exchange; the lists keep the items' order."""
     df = order_docs(spark, sf_dir)
     view = compile_node(parse_expression("@items[*]"), scope_of(df))
-    rows = W.relation(df, view, ["l_orderkey"]).select("l_orderkey", F.col("v.l_returnflag").alias("key"), F.col("v.l_partkey").alias("v"))
-    return W.group_relation(rows, ["l_orderkey"], "key").select("l_orderkey", "key", F.size("v").cast("long").alias("n"), F.aggregate("v", F.lit(0).cast("long"), lambda a, x: a + x).alias("parts"))
+    rows = W.relation(df, view, ["l_orderkey"]).select("l_orderkey", "i0", F.col("v.l_returnflag").alias("key"), F.col("v.l_partkey").alias("v"))
+    return W.group_relation(rows, ["l_orderkey"], "key").select("l_orderkey", "key", F.size("v").cast("long").alias("n"), F.array_join(F.transform("v", lambda x: x.cast("string")), ",").alias("parts"))
 
 
 @query(LI + "SELECT l_orderkey, string_agg(l_suppkey::VARCHAR || (CASE WHEN l_quantity >= 25 THEN 'true' ELSE 'false' END), ',' ORDER BY rn) AS merged FROM li GROUP BY l_orderkey")
@@ -429,7 +430,7 @@ def flow_nested_branch(spark, sf_dir):
 
 @query("SELECT c_custkey, n_name AS nation, (n_regionkey * 10)::BIGINT AS region FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey AND c_acctbal > 0")
 def flow_composite_lookup(spark, sf_dir):
-    library = Library(services={"Nation": TableService(table(spark, sf_dir, "nation"), "n_nationkey", ["n_name", "n_regionkey"], "key")})
+    library = Library(services={"Nation": TableService(table(spark, sf_dir, "nation"), "n_nationkey", ["n_name", "n_regionkey"], "key", unique=True)})
     return plan_flow(table(spark, sf_dir, "customer"), """# /lookup
 ***
   <> {
@@ -446,7 +447,7 @@ def flow_composite_lookup(spark, sf_dir):
 
 @query(LI + "SELECT l_orderkey, string_agg(p_brand, ',' ORDER BY rn) AS brands, count(*) AS batch_size FROM li LEFT JOIN part ON l_partkey = p_partkey GROUP BY l_orderkey HAVING count(p_partkey) = count(*)")
 def flow_batch_composite(spark, sf_dir):
-    library = Library(services={"Part": TableService(table(spark, sf_dir, "part"), "p_partkey", "p_brand", "key")})
+    library = Library(services={"Part": TableService(table(spark, sf_dir, "part"), "p_partkey", "p_brand", "key", unique=True)})
     p = plan_flow(order_docs(spark, sf_dir), """# /batch
 ***
   brands <- [Part(key=_.l_partkey) <- @items]
@@ -618,7 +619,7 @@ def trace_stream_equals_batch(spark, sf_dir):
     from .streaming.trace import stream
 
     schema = table(spark, sf_dir, "events").schema
-    folder = f"{spark.conf.get('spark.checkpoint.dir', 'file:///tmp/checkpoints').rstrip('/')}/stream-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     rows = spark.readStream.schema(schema).parquet(f"{sf_dir}/event[s].parquet")  # a pattern, as the table may be one file
     out = stream(rows.select("event_id", "ts", "user_id"), COUNTING, "user_id", ["ts", "event_id"], {"result": "result"}, "event_id bigint, result bigint", ["event_id"])
     done = out.writeStream.format("parquet").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start(f"{folder}/out")
@@ -718,6 +719,15 @@ def flow_graph_paths(spark, sf_dir):
     return reachable(edges)
 
 
+@query("""WITH RECURSIVE e AS (SELECT n_nationkey AS source, (n_nationkey + 1) % 25 AS target FROM nation UNION SELECT n_nationkey, (3 * n_nationkey) % 25 FROM nation),
+p(source, target, hops) AS (SELECT source, target, 1 FROM e UNION SELECT p.source, e.target, p.hops + 1 FROM p JOIN e ON p.target = e.source WHERE p.hops < 26)
+SELECT source::INTEGER AS source, target::INTEGER AS target, min(hops)::BIGINT AS hops FROM p GROUP BY ALL""")
+def flow_graph_cycles(spark, sf_dir):
+    """Distances in a graph of rings and chords, where walks never end."""
+    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("int").alias("source"))
+    return reachable(n.withColumn("target", (F.col("source") + 1) % 25).union(n.withColumn("target", (F.col("source") * 3) % 25)))
+
+
 # -- sources and sinks
 
 @query("SELECT event_id, (props->>'k')::BIGINT AS k, (props->>'k')::BIGINT * 2 AS doubled, user_id::VARCHAR AS trace_id FROM events WHERE event_id % 9 <> 0")
@@ -741,12 +751,25 @@ def udf_python(spark, sf_dir):
     return df.select("event_id", near.col.alias("near"), far.col.alias("far"))
 
 
-@query("SELECT event_id, value * 1.5 AS out FROM events")
+@query("SELECT event_id, value * 1.5 AS scaled, ((event_id + 1) * 1.5)::DOUBLE AS shifted, value * 2.5 AS called FROM events")
 def udf_macro(spark, sf_dir):
+    """A macro of columns and a Python function under names of their own; each works on its argument."""
+    df = table(spark, sf_dir, "events")
+    more = {"scaled": lambda v: V.arithmetic("*", v, V.literal(1.5)), "python_scaled": python_function(lambda x: x * 2.5, "double")}
+    out = {"scaled": "scaled(@value)", "shifted": "scaled(@event_id + 1)", "called": "python_scaled(@value)"}
+    return df.select("event_id", *(compiled(df, text, functions=more).col.alias(name) for name, text in out.items()))
+
+
+@query("SELECT event_id, event_id % 100 + 7 AS plus, (event_id % 100 + 7) * 2 AS chained FROM events")
+def udf_method(spark, sf_dir):
+    """A method from a directory: the value before the dot is its first argument."""
+    with tempfile.TemporaryDirectory() as root:  # read here, on the driver; functions travel with the plan
+        Path(root, "methods").mkdir()
+        Path(root, "methods", "plus.py").write_text("def plus(x, y):\n    return x + y\n")
+        methods = visible(load(root, "methods"), "/any")
     df = table(spark, sf_dir, "events")
-    more = {"scaled": lambda v: compiled(df, "@value * 1.5"), "python_scaled": python_function(lambda x: x * 1.5, "double")}
-    v = compiled(df, "scaled(@value)", functions=more)
-    return df.select("event_id", v.col.alias("out"))
+    plus, chained = (compiled(df, text, methods=methods) for text in ("(@event_id % 100).plus(7)", "(@event_id % 100).plus(7) * 2"))
+    return df.select("event_id", plus.col.alias("plus"), chained.col.alias("chained"))
 
 
 @query("""SELECT 'paid' AS topic, event_id::VARCHAR AS key, '{"key":' || event_id || ',"kind":"' || event_type || '"}' AS value FROM events WHERE event_type = 'purchase'""")

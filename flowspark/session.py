@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def prepare(spark: SparkSession) -> SparkSession:
@@ -16,3 +16,21 @@ def prepare(spark: SparkSession) -> SparkSession:
     if root not in known.split(os.pathsep):
         environment["PYTHONPATH"] = os.pathsep.join(x for x in (root, known) if x)
     return spark
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir; a local one only where none is set on a local master (tests)."""
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    if configured:
+        return configured.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+    return "file:///tmp/checkpoints"
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The rows, computed once and kept in the shared folder, without their lineage."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint()
