@@ -56,7 +56,7 @@ MISSED = 1e-6
 #: Members whose shingles judge what is rare in a region, about; members that one task takes the prefixes of.
 SAMPLE, CHUNK = 16, 512
 #: Documents of a block in the exact comparison.
-BLOCK = 128
+BLOCK = 64
 KEPT_WORDS = 300_000
 
 _A, _B, _C, _D = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xFF51AFD7ED558CCD))
