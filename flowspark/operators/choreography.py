@@ -91,34 +91,63 @@ class Experiment:
     condition: str = "true"
     target: str | None = None
 
+    def dependencies(self) -> set[str]:
+        """Names of the variables that condition, target and arguments read."""
+        texts = [self.condition, *([self.target] if self.target else []), *(x for g in self.groups for _, _, args in g.replacements for _, x in args)]
+        return set().union(*(parse_expression(t).references() for t in texts))
 
-def with_plan(df: DataFrame, experiments: list[Experiment], flow: str, event_id: str = "event_id") -> DataFrame:
-    """Adds `experiment`: struct<name, grp, flow, argument>, null outside all experiments.
 
-    The first by priority whose condition and traffic take the event wins; its
-    group is the first whose buckets hold the target's, and `flow` is the
-    replacement of the given flow (itself if the group replaces nothing).
+def assignments(experiments: list[Experiment], flow: str, value, own: Column) -> tuple[list[tuple[Column, Experiment, Group]], Column | None]:
+    """(condition, experiment, group) of every treatment of a flow, no two at once, and the failure of an event that has none.
+
+    `value` evaluates an expression's text; `own` is the event's id.  The first
+    experiment by priority whose condition and traffic take the event wins; its group
+    is the first whose buckets hold the target's.  A condition or target that fails,
+    or a bucket that no group covers, fails the event.
     """
     if len({e.priority for e in experiments}) < len(experiments):
         raise ValueError("two experiments have one priority")
-    variables = variables_of(df)
-    own = F.col(event_id).cast("string")
-    plan = None
+    out, free, failed = [], F.lit(True), None
     for e in sorted((e for e in experiments if e.flow == flow), key=lambda e: e.priority):
-        test, b = _evaluate(e.condition, variables), bucket(own)
-        taken = V.truthy(test) & (b >= e.traffic[0]) & (b < e.traffic[1])
-        target = _evaluate(e.target, variables) if e.target else Value(own, V.TEXT)
+        test, b = value(e.condition), bucket(own)
+        taken = free & F.coalesce(V.truthy(test) & (b >= e.traffic[0]) & (b < e.traffic[1]), F.lit(False))
+        target = value(e.target) if e.target else Value(own, V.TEXT)
         place = bucket(target.col, target.type, e.name)
-        group = None
+        bad = F.when(free & test.err.isNotNull(), test.err) if test.err is not None else F.lit(None).cast("string")
+        taken = taken & bad.isNull()
+        if target.err is not None:
+            bad = F.when(taken & target.err.isNotNull(), target.err).otherwise(bad)
+        covered = F.lit(False)
         for g in e.groups:
-            new, args = next(((n, a) for o, n, a in g.replacements if o == flow), (flow, ()))
-            argument = F.to_json(F.struct(*(_evaluate(x, variables).col.alias(k) for k, x in args))) if args else F.lit("{}")
-            row = F.struct(F.lit(e.name).alias("name"), F.lit(g.name).alias("grp"), F.lit(new).alias("flow"), argument.alias("argument"))
-            inside = (place >= g.buckets[0]) & (place < g.buckets[1])
-            group = F.when(inside, row) if group is None else group.when(inside, row)
-        plan = F.when(taken, group) if plan is None else plan.when(taken, group)
-    kind = "struct<name:string,grp:string,flow:string,argument:string>"
-    return df.withColumn("experiment", plan if plan is not None else F.lit(None).cast(kind))
+            inside = F.coalesce((place >= g.buckets[0]) & (place < g.buckets[1]), F.lit(False))
+            out.append((taken & bad.isNull() & inside & ~covered, e, g))
+            covered = covered | inside
+        bad = F.when(bad.isNull() & taken & ~covered, F.lit(V.MISSING)).otherwise(bad)
+        failed = bad if failed is None else F.coalesce(failed, bad)
+        free = free & ~taken & bad.isNull()
+    return out, failed
+
+
+def with_plan(df: DataFrame, experiments: list[Experiment], flow: str, event_id: str = "event_id") -> DataFrame:
+    """Adds `experiment`: struct<name, grp, flow, argument, error>, null outside all experiments.
+
+    `flow` is the replacement of the given flow (itself if the group replaces
+    nothing); `error` says why an event that an experiment takes has no group.
+    """
+    variables = variables_of(df)
+    treatments, failed = assignments(experiments, flow, lambda text: _evaluate(text, variables), F.col(event_id).cast("string"))
+    none = F.lit(None).cast("string")
+    plan = None
+    for test, e, g in treatments:
+        new, args = next(((n, a) for o, n, a in g.replacements if o == flow), (flow, ()))
+        argument = F.to_json(F.struct(*(_evaluate(x, variables).col.alias(k) for k, x in args))) if args else F.lit("{}")
+        row = F.struct(F.lit(e.name).alias("name"), F.lit(g.name).alias("grp"), F.lit(new).alias("flow"), argument.alias("argument"), none.alias("error"))
+        plan = F.when(test, row) if plan is None else plan.when(test, row)
+    kind = "struct<name:string,grp:string,flow:string,argument:string,error:string>"
+    if plan is None:
+        return df.withColumn("experiment", F.lit(None).cast(kind))
+    error = F.struct(none.alias("name"), none.alias("grp"), none.alias("flow"), none.alias("argument"), failed.alias("error"))
+    return df.withColumn("experiment", plan.when(failed.isNotNull(), error).cast(kind))
 
 
 def traffic_ranges(shares: list[int]) -> list[tuple[int, int]]:
@@ -157,6 +186,32 @@ def callbacks(registers: DataFrame, answers: DataFrame, timeout_ms: int, keep: t
     )
 
 
+@dataclass(frozen=True)
+class Callback:
+    """At the end of flow `register` a token is saved with arguments; the flow `answer` that loads it first gets them, or `late` does after the timeout."""
+
+    register: str
+    token: str
+    answer: str
+    late: str
+    timeout_ms: int
+    arguments: tuple[tuple[str, str], ...] = ()
+
+
+def settled_events(settled: DataFrame, answers: DataFrame, arguments: str, event_id: str = "event_id") -> tuple[DataFrame, DataFrame]:
+    """(answers with their token's arguments, timeouts as events), from what `callbacks` settled with `keep=("argument",)`.
+
+    `arguments` is the DDL of the arguments.  An answer that found its token gets the
+    arguments as `token_context`; one that came too late, or without a registration,
+    has null there, which fails the include that loads it.  A timeout is an event at
+    its deadline with the same arguments.
+    """
+    context = F.from_json("argument", arguments)
+    won = settled.where("outcome = 'callback'").select(F.col("answer_id").alias(event_id), context.alias("token_context"))
+    late = settled.where("outcome = 'timeout'").select(event_id, "trace", "token", F.col("settled_ts").alias("ts"), context.alias("token_context"))
+    return answers.join(won, event_id, "left"), late
+
+
 # -- schedules
 
 def due(events: DataFrame, now_ms: Column | int, column: str = "scheduled_ts") -> DataFrame:
@@ -172,6 +227,42 @@ def to_events(scheduled: DataFrame, event_id: str, trace: str, ts: str) -> DataF
     )
 
 
+def drain(pending: DataFrame, library, now_ms: int, arguments: str, variables: dict[str, dict[str, str]], keys: tuple[str, ...] = ("event_id", "trace_id"), most: int = 256) -> tuple[DataFrame, DataFrame]:
+    """(executions, what is still to come): runs all scheduled events that are due, and what they schedule, until none is due.
+
+    `pending` has `keys`, flow_name, scheduled_ts, path (the scopes that led there) and
+    argument (JSON); `arguments` is the DDL of all flows' arguments and `variables` names
+    what each flow's execution gives: (keys, flow_name, scheduled_ts, path, values as JSON).
+    A round plans every flow of the library once over its due events and is written to
+    the shared folder; more than `most` rounds fail.
+    """
+    from ..plans.flow import plan_flow
+
+    columns = [*keys, "flow_name", "scheduled_ts", "path", "argument"]
+    done, waiting = None, checkpointed(pending.select(*columns))
+    for _ in range(most):
+        now, later = due(waiting, now_ms, "scheduled_ts"), waiting.where(F.col("scheduled_ts") >= now_ms)
+        names = [r[0] for r in now.select("flow_name").distinct().collect()]  # flows of the library
+        if not names:
+            if done is None:
+                done = waiting.where("false").select(*keys, "flow_name", "scheduled_ts", "path", F.lit(None).cast("string").alias("values"))
+            return done, waiting
+        following = later
+        for name in sorted(names):
+            rows = now.where(F.col("flow_name") == name).select(*keys, "scheduled_ts", "path", F.from_json("argument", arguments).alias("a")).select(*keys, "scheduled_ts", "path", "a.*")
+            plan = plan_flow(rows, library.flows[name], library, keys)
+            out = variables.get(name, {})
+            own = [(F.when(v.err.isNull(), v.col) if (v := plan.values[x]).err is not None else v.col).alias(k) for k, x in out.items()]
+            values = F.to_json(F.struct(*own), {"ignoreNullFields": "false"}) if own else F.lit("{}")
+            ran = plan.df.select(*keys, F.lit(name).alias("flow_name"), "scheduled_ts", "path", values.alias("values"))
+            done = ran if done is None else done.unionByName(ran)
+            if plan.scheduled:
+                more = plan.schedule(*keys, "scheduled_ts", "path")
+                following = following.unionByName(more.select(*keys, "flow_name", (F.col("scheduled_ts") + F.col("delay_ms")).alias("scheduled_ts"), F.concat_ws("/", F.when(F.col("path") != "", F.col("path")), "scope").alias("path"), "argument").select(*columns))
+        done, waiting = checkpointed(done), checkpointed(following)
+    raise RecursionError(f"more than {most} rounds of scheduled events")
+
+
 # -- the flow graph
 
 class FlowGraph:

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .values import TEXT, VOID, Value, either
+from .values import TEXT, VARIANT, VOID, Value, either
 
 
 class Service:
@@ -55,15 +55,18 @@ class TableService(Service):
         return joined.withColumn(f"{out}_err", (err if guard is None or err is None else F.when(guard, err)) if err is not None else F.lit(None).cast("string")), side.schema[out].dataType
 
 
-def _called(function: Callable, names: list[str], rows: pd.DataFrame, retries: int, wait: float, threads: int) -> tuple[list, list]:
-    """Answers and failures of a function over rows; each row is retried by itself, waiting twice as long each time."""
+def _called(function: Callable, names: list[str], rows: pd.DataFrame, retries: int, wait: float, threads: int, ignored: tuple = ()) -> tuple[list, list]:
+    """Answers and failures of a function over rows; each row is retried by itself, waiting twice as long each time.
+
+    A failure whose `code` is among the ignored ones isn't tried again.
+    """
 
     def one(values):
         for attempt in range(retries + 1):
             try:
                 return function(**dict(zip(names, values))), None
             except Exception as e:
-                if attempt == retries:
+                if attempt == retries or getattr(e, "code", None) in ignored:
                     return None, type(e).__name__
                 time.sleep(wait * 2**attempt)
 
@@ -75,12 +78,12 @@ def _called(function: Callable, names: list[str], rows: pd.DataFrame, retries: i
 class PythonService(Service):
     """Calls a Python function with the arguments by name."""
 
-    def __init__(self, function: Callable, returns: T.DataType | str, retries: int = 0, wait: float = 0.5, threads: int = 8):
-        self.function, self.retries, self.wait, self.threads = function, retries, wait, threads
+    def __init__(self, function: Callable, returns: T.DataType | str, retries: int = 0, wait: float = 0.5, threads: int = 8, ignored: tuple = ()):
+        self.function, self.retries, self.wait, self.threads, self.ignored = function, retries, wait, threads, tuple(ignored)
         self.returns = T._parse_datatype_string(returns) if isinstance(returns, str) else returns
 
     def apply(self, df, args, out, guard):
-        names, function, retries, wait, threads = list(args), self.function, self.retries, self.wait, self.threads
+        names, function, retries, wait, threads, ignored = list(args), self.function, self.retries, self.wait, self.threads, self.ignored
         schema = T.StructType([T.StructField("answer", self.returns), T.StructField("err", TEXT)])
 
         @F.pandas_udf(schema)
@@ -88,7 +91,7 @@ class PythonService(Service):
             answers, errors = pd.Series([None] * len(rows), dtype=object), pd.Series([None] * len(rows), dtype=object)
             wanted = rows["_call"].fillna(False).astype(bool).to_numpy()
             if wanted.any():
-                a, e = _called(function, names, rows.loc[wanted, names].astype(object), retries, wait, threads)
+                a, e = _called(function, names, rows.loc[wanted, names].astype(object), retries, wait, threads, ignored)
                 answers[wanted], errors[wanted] = a, e
             return pd.DataFrame({"answer": answers, "err": errors})
 
@@ -121,14 +124,16 @@ class RemoteService(Service):
     """`get url` or `post url` and an optional body line; `transport(method, url, body)` makes the call.
 
     Without a transport the answer is the rendered request, which is how plans are
-    tested; with one the calls run in batches, with retries.
+    tested; with one the calls run in batches, with retries (but none after an error
+    whose `code` is ignored).  An answer that is JSON is a document, if `json` says so;
+    a text that isn't fails with the class ValueError.
     """
 
-    def __init__(self, code: str, transport: Callable[[str, str, str | None], str] | None = None, retries: int = 2, wait: float = 0.5):
+    def __init__(self, code: str, transport: Callable[[str, str, str | None], str] | None = None, retries: int = 2, wait: float = 0.5, ignored: tuple = (), json: bool = False):
         lines = [x.strip() for x in code.strip().splitlines() if x.strip()]
         self.method, self.url = lines[0].split(None, 1)
         self.body = lines[1] if len(lines) > 1 else None
-        self.transport, self.retries, self.wait = transport, retries, wait
+        self.transport, self.retries, self.wait, self.ignored, self.json = transport, retries, wait, ignored, json
 
     def apply(self, df, args, out, guard):
         url = render(self.url, args)
@@ -139,8 +144,12 @@ class RemoteService(Service):
             keep = (guard if guard is not None else F.lit(True)) & (err.isNull() if err is not None else F.lit(True))
             return df.withColumn(out, F.when(keep, text)).withColumn(f"{out}_err", err if err is not None else F.lit(None).cast("string")), TEXT
         transport, method = self.transport, self.method
-        inner = PythonService(lambda url, body: transport(method, url, body), TEXT, self.retries, self.wait)
-        return inner.apply(df, {"url": url, "body": body}, out, guard)
+        inner = PythonService(lambda url, body: transport(method, url, body), TEXT, self.retries, self.wait, ignored=self.ignored)
+        rows, kind = inner.apply(df, {"url": url, "body": body}, out, guard)
+        if not self.json:
+            return rows, kind
+        bad = F.col(out).isNotNull() & F.try_parse_json(out).isNull()
+        return rows.withColumn(f"{out}_err", F.when(bad, "ValueError").otherwise(F.col(f"{out}_err"))).withColumn(out, F.try_parse_json(out)), VARIANT
 
 
 class SinkService(Service):

@@ -1,7 +1,9 @@
 """Analysis logs: one row for each execution of a topic's key flow, with fields gathered around it; and the procedure view.
 
-Procedures are rows (event_id, scope, flow_name, choice, values): scope is the path
-of includes as an array, values a map of variables to texts.
+Procedures are rows (event_id, scope, seq, flow_name, choice, values): scope is the path
+of includes as an array, seq the order of execution, values a map of variables to texts.
+Executions of scheduled and callback events belong to the event that began it all: they
+have its id, their scope begins with the path that led to them, and a time orders them.
 """
 
 from __future__ import annotations
@@ -16,8 +18,8 @@ from pyspark.sql import functions as F
 class Field:
     """A tag (whether a flow was executed), a choice (names hit) or a variable of a flow.
 
-    Forward fields come from executions before the key flow (the longest scope, the
-    nearest), backward ones from below it (the shortest scope).
+    Forward fields come from executions before the key flow (the longest scope, of these
+    the last), backward ones from below it (the shortest scope, of these the first).
     """
 
     name: str
@@ -41,15 +43,20 @@ class Topic:
         return out + [f"{self.name}: {f} has no tag" for f in sorted({f.flow for f in self.fields} - tagged - {self.flow})]
 
 
-def topic_log(procedures: DataFrame, topic: Topic, event: str = "event_id") -> DataFrame:
+def topic_log(procedures: DataFrame, topic: Topic, event: str = "event_id", order: tuple[str, ...] = ("seq",), pending: DataFrame | None = None, graph=None, detail: bool = False) -> DataFrame:
     """(event, scope, a column for each field): nothing for events that never ran the key flow.
 
-    One join on the event brings the key's and the fields' executions together; an
-    event has at most a few hundred of them.
+    `order` are the columns that tell what was executed before.  One join on the event
+    brings the key's and the fields' executions together; an event has at most a few
+    hundred of them.  With `pending` (event, path, flow_name: scheduled events that
+    haven't run) and the flow graph, rows are held back whose backward fields such an
+    event below the key's scope can still reach; of two dual flows (a callback and its
+    timeout) either settles both.  `detail` adds the scope that each field came from.
     """
     flows = sorted({f.flow for f in topic.fields})
-    keys = procedures.where(F.col("flow_name") == topic.flow).select(event, F.col("scope").alias("key_scope"), F.col("flow_name").alias("key_flow"))
-    others = procedures.where(F.col("flow_name").isin(*flows)).select(event, "scope", "flow_name", "choice", "values")
+    when = F.struct(*order)
+    keys = procedures.where(F.col("flow_name") == topic.flow).select(event, F.col("scope").alias("key_scope"), when.alias("key_when"))
+    others = procedures.where(F.col("flow_name").isin(*flows)).select(event, "scope", "flow_name", "choice", "values", when.alias("when"))
     rows = keys.join(others, event, "left")
     depth = F.size("scope")
     below = F.slice("scope", F.lit(1), F.size("key_scope")) == F.col("key_scope")
@@ -57,18 +64,28 @@ def topic_log(procedures: DataFrame, topic: Topic, event: str = "event_id") -> D
     for f in topic.fields:
         own = F.col("flow_name") == f.flow
         here = own & (F.col("scope") == F.col("key_scope"))
-        test = own & ~below | here if f.forward else own & below
+        test = own & ~below & (F.col("when") < F.col("key_when")) | here if f.forward else own & below
         value = {"tag": F.lit(True), "choice": F.array_join("choice", ","), "variable": F.try_element_at("values", F.lit(f.variable or f.name))}[f.kind]
+        pick = F.max_by if f.forward else F.min_by
+        place = F.when(test, F.struct(depth, F.col("when"), F.col("scope")))
         if f.kind == "tag":
             aggregates.append(F.coalesce(F.bool_or(test), F.lit(False)).alias(f.name))
         else:
-            pick = F.max_by if f.forward else F.min_by
-            aggregates.append(pick(F.when(test, value), F.when(test, F.struct(depth, F.col("scope")))).alias(f.name))
-    return rows.groupBy(event, "key_scope").agg(*aggregates).withColumn("scope", F.concat_ws("/", "key_scope")).drop("key_scope")
+            aggregates.append(pick(F.when(test, value), place).alias(f.name))
+        if detail:
+            aggregates.append(pick(F.when(test, F.concat_ws("/", "scope")), place).alias(f"{f.name}_scope"))
+    out = rows.groupBy(event, "key_scope").agg(*aggregates).withColumn("scope", F.concat_ws("/", "key_scope")).drop("key_scope")
+    if pending is None:
+        return out
+    needed = {f.flow for f in topic.fields if not f.forward}
+    reaching = sorted(f for f in {v for a, b, _ in graph.edges for v in (a, b)} | needed if any(f == n or graph.has_path(f, n) or (graph.duals.get(f) and graph.has_path(graph.duals[f], n)) for n in needed))
+    waiting = pending.where(F.col("flow_name").isin(*reaching)).select(F.col(event).alias("pending_event"), "path")
+    inside = (F.col("scope") == "") | (F.col("path") == F.col("scope")) | F.startswith(F.col("path"), F.concat("scope", F.lit("/")))
+    return out.join(waiting, (F.col(event) == F.col("pending_event")) & inside, "left_anti")
 
 
 def procedure_view(procedures: DataFrame, event: str = "event_id", trace: str = "trace_id") -> DataFrame:
-    """Flat rows: id = /trace/event/scope, its ancestor, and its children's ids in order."""
+    """Flat rows: id = /trace/event/scope, its ancestor, and the ids of its children (scheduled ones too, by their paths) in order."""
     ident = F.concat_ws("/", F.lit(""), F.col(trace).cast("string"), F.col(event).cast("string"), F.when(F.size("scope") > 0, F.concat_ws("/", "scope")))
     rows = procedures.withColumn("id", ident)
     parent = F.concat_ws("/", F.lit(""), F.col(trace).cast("string"), F.col(event).cast("string"), F.when(F.size("scope") > 1, F.concat_ws("/", F.slice("scope", F.lit(1), F.size("scope") - 1))))

@@ -9,7 +9,7 @@ schedules and sinks become rows beside the result.  Nothing is executed here.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -17,10 +17,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators import values as V
+from ..operators.choreography import assignments
 from ..operators.services import RemoteService, Service, SinkService
 from ..operators.values import TEXT, VOID, Value
 from .compiler import Scope, evaluate, variables_of
-from .parser import parse_flow
+from .parser import parse_expression, parse_flow
 from .tree import Assign, Branch, Composite, Evaluate, Flow, Include, Node, Schedule
 
 #: Executions of flows in one event.
@@ -34,8 +35,9 @@ class FlowError(ValueError):
 class Library:
     """Flows by name, services and functions: what a flow may refer to."""
 
-    def __init__(self, *flows: str | Flow, services: Mapping[str, Service] | None = None, functions: Mapping | None = None, methods: Mapping | None = None, transport=None):
+    def __init__(self, *flows: str | Flow, services: Mapping[str, Service] | None = None, functions: Mapping | None = None, methods: Mapping | None = None, transport=None, experiments: Sequence = (), callbacks: Sequence = ()):
         self.flows: dict[str, Flow] = {}
+        self.experiments, self.callbacks = list(experiments), list(callbacks)
         self.services, self.functions, self.methods, self.transport = dict(services or {}), functions or {}, methods or {}, transport
         for f in flows:
             self.add(f)
@@ -60,6 +62,45 @@ def flow_id(text: str) -> str:
     return hashlib.md5(repr(parse_flow(text)).encode()).hexdigest()
 
 
+@dataclass
+class Procedure:
+    """One execution of a flow, in the order of planning: when it runs, and what it read and made."""
+
+    guard: Column | None
+    flow: Flow
+    scope: str
+    arguments: dict[str, Value]
+    plan: list
+    assigned: list[tuple[str, Value]] = field(default_factory=list)
+    composed: list[tuple[str, Value]] = field(default_factory=list)
+    failed: list[tuple[str, Column, list[tuple[str, Column]]]] = field(default_factory=list)  # name, failure, failures that it read
+    loaded: dict[str, Value] = field(default_factory=dict)
+    scheduled: list[tuple[Column | None, str]] = field(default_factory=list)
+
+
+def _nullable(t: T.DataType) -> T.DataType:
+    """A type whose every part may be null, so that rows of several origins fit in one array."""
+    if isinstance(t, T.StructType):
+        return T.StructType([T.StructField(f.name, _nullable(f.dataType)) for f in t])
+    if isinstance(t, T.ArrayType):
+        return T.ArrayType(_nullable(t.elementType))
+    return T.MapType(t.keyType, _nullable(t.valueType)) if isinstance(t, T.MapType) else t
+
+
+def _texts(items: list[tuple[str, Value]]) -> Column:
+    """map<string, string>: values as JSON texts (texts as they are); failed ones are left out."""
+    if not items:
+        return F.create_map().cast("map<string,string>")
+    rows = F.array(*(F.struct(F.lit(k).alias("key"), _text(v).alias("value")) for k, v in items))
+    return F.map_from_entries(F.filter(rows, lambda x: x["value"].isNotNull()))
+
+
+def _text(v: Value) -> Column:
+    nested = isinstance(v.type, (T.StructType, T.ArrayType, T.MapType)) or v.type == V.VARIANT
+    text = F.to_json(v.col, {"ignoreNullFields": "false"}) if nested else F.coalesce(v.col.cast("string"), F.lit("null"))
+    return text if v.err is None else F.when(v.err.isNull(), text)
+
+
 @dataclass
 class Plan:
     """A planned flow: its rows, the values of its variables, and what it emits."""
@@ -70,7 +111,8 @@ class Plan:
     faults: list[tuple[str, Column]] = field(default_factory=list)
     scheduled: list[tuple[Column | None, Column]] = field(default_factory=list)
     messages: list[tuple[Column | None, Column]] = field(default_factory=list)
-    procedures: list[tuple[Column | None, str, str]] = field(default_factory=list)
+    procedures: list[Procedure] = field(default_factory=list)
+    registered: list[tuple[Column | None, Column]] = field(default_factory=list)
     calls: list[str] = field(default_factory=list)
 
     def select(self, *keep: str, **variables: str) -> DataFrame:
@@ -97,24 +139,74 @@ class Plan:
     def _rows(self, items, keep: tuple[str, ...]) -> DataFrame:
         if not items:
             raise FlowError("the flow emits nothing of this kind")
-        types = T.ArrayType(self.df.select(items[0][1].alias("x")).schema["x"].dataType)
+        types = T.ArrayType(_nullable(self.df.select(items[0][1].alias("x")).schema["x"].dataType))
         rows = F.array(*(F.when(g, x) if g is not None else x for g, x in items)).cast(types)
         return self.df.select(*keep, F.explode(F.filter(rows, lambda x: x.isNotNull())).alias("x")).select(*keep, "x.*")
 
     def schedule(self, *keep: str) -> DataFrame:
-        """The events that the flow schedules: scope, flow_name, delay_ms, trace, token and argument (JSON)."""
+        """The events that the flow schedules: scope, flow_name, delay_ms, trace, token, argument (JSON) and experiment, the treatment they keep."""
         return self._rows(self.scheduled, keep)
 
     def emitted(self, *keep: str) -> DataFrame:
         """What sinks got: topic, key and value."""
         return self._rows(self.messages, keep)
 
+    def fault_details(self) -> Column:
+        """Failed variables with catalog and message, as a map; a message names the variables that had failed before."""
+        items = []
+        for p in self.procedures:
+            for name, err, read in p.failed:
+                before = F.array_join(F.filter(F.array(*(F.when(e.isNotNull(), F.lit(n)) for n, e in read)), lambda x: x.isNotNull()), ", ") if read else F.lit("")
+                message = F.when((err == V.ARGUMENT) & (before != ""), F.concat(F.lit("failed before: "), before)).otherwise(F.concat(err, F.lit(f" in {name}")))
+                path = f"{p.scope}/{name}" if p.scope else name
+                items.append(F.struct(F.lit(path).alias("key"), F.when(err.isNotNull(), F.struct(err.alias("catalog"), message.alias("message"))).alias("value")))
+        kind = "map<string,struct<catalog:string,message:string>>"
+        if not items:
+            return F.create_map().cast(kind)
+        return F.map_from_entries(F.filter(F.array(*items), lambda x: x["value"].isNotNull())).cast(kind)
+
+    def dead_letters(self, *keep: str, ignored: tuple[str, ...] = ()) -> DataFrame:
+        """Events with a failure that isn't of the ignored classes, and their faults: what to look at, or to run again."""
+        fault = self.fault()
+        return self.df.select(*keep, F.map_filter(fault, lambda _, e: ~e.isin(*ignored) if ignored else F.lit(True)).alias("fault")).where(F.size("fault") > 0)
+
+    def registrations(self, *keep: str) -> DataFrame:
+        """Tokens that wait for a callback: token, argument (JSON), answer, late and timeout_ms."""
+        return self._rows(self.registered, keep)
+
     def procedure(self, *keep: str) -> DataFrame:
-        """A row for each execution of a flow in an event: scope, flow_name and choice."""
-        items = [(g, F.struct(F.lit(s).alias("scope"), F.lit(f).alias("flow_name"), self.choice(s).alias("choice"))) for g, f, s in self.procedures]
+        """A row for each execution of a flow in an event: scope, seq (the order of execution), flow_name and choice."""
+        items = [(p.guard, F.struct(F.lit(p.scope).alias("scope"), F.lit(i).cast("bigint").alias("seq"), F.lit(p.flow.name).alias("flow_name"), self.choice(p.scope).alias("choice"))) for i, p in enumerate(self.procedures)]
+        return self._rows(items, keep)
+
+    def procedure_log(self, *keep: str, detailed: bool = False) -> DataFrame:
+        """As `procedure`, with argument, assign, composite, fault, load (maps of texts), schedule (flows) and experiment.
+
+        Assigned variables are logged if the log is detailed or the flow's own
+        configuration has `log = "enabled"`.
+        """
+        items = []
+        for i, p in enumerate(self.procedures):
+            logged = p.assigned if detailed or p.flow.config.get("log") == "enabled" else []
+            faults = F.array(*(F.struct(F.lit(n).alias("key"), e.alias("value")) for n, e, _ in p.failed)) if p.failed else F.array().cast("array<struct<key:string,value:string>>")
+            later = F.array(*(F.when(g, F.lit(n)) if g is not None else F.lit(n) for g, n in p.scheduled)) if p.scheduled else F.array().cast("array<string>")
+            items.append((p.guard, F.struct(
+                F.lit(p.scope).alias("scope"), F.lit(i).cast("bigint").alias("seq"), F.lit(p.flow.name).alias("flow_name"),
+                _texts([(k[1:], v) for k, v in p.arguments.items() if len(k) > 1 and k[0] == "@" and k != "@#"]).alias("argument"), _texts(logged).alias("assign"),
+                self.choice(p.scope).alias("choice"), _texts(p.composed).alias("composite"), F.map_from_entries(F.filter(faults, lambda x: x["value"].isNotNull())).alias("fault"),
+                _texts(list(p.loaded.items())).alias("load"), F.filter(later, lambda x: x.isNotNull()).alias("schedule"), _named(p.plan).alias("experiment"),
+            )))
         return self._rows(items, keep)
 
 
+def _named(plan: list) -> Column:
+    """struct<name, grp> of the treatment that a row has."""
+    out = F.lit(None).cast("struct<name:string,grp:string>")
+    for test, e, g in reversed(plan):
+        out = F.when(test, F.struct(F.lit(e.name).alias("name"), F.lit(g.name).alias("grp"))).otherwise(out)
+    return out
+
+
 def delay_ms(text: str | None) -> int:
     """`10 minutes` in milliseconds; nothing is at once."""
     if not text:
@@ -130,8 +222,8 @@ def delay_ms(text: str | None) -> int:
 class Planner:
     """Plans one flow over a DataFrame of events; `keys` identify a row where a batch has to come back to it."""
 
-    def __init__(self, library: Library, df: DataFrame, keys: tuple[str, ...] = (), trace: Mapping[str, Value] | None = None, deferred: tuple[str, ...] = ()):
-        self.library, self.keys, self.trace, self.deferred = library, keys, dict(trace or {}), deferred
+    def __init__(self, library: Library, df: DataFrame, keys: tuple[str, ...] = (), trace: Mapping[str, Value] | None = None, deferred: tuple[str, ...] = (), experiment: str | None = None):
+        self.library, self.keys, self.trace, self.deferred, self.experiment = library, keys, dict(trace or {}), deferred, experiment
         self.plan = Plan(df, {})
         self.columns = 0
         self.depth = 0
@@ -158,14 +250,76 @@ class Planner:
     # -- blocks
 
     def run(self, name: str, arguments: Mapping[str, Value] | None = None) -> Plan:
+        """Plan the flow for all events; `experiment` names a column with the treatment that scheduling gave an event, or null for none."""
         flow = self._flow(name)
         arguments = dict(arguments) if arguments is not None else variables_of(self.plan.df)
-        self.plan.procedures.append((None, flow.name, ""))
-        frame = Frame(self, flow, arguments, "", None)
-        frame.block(flow.block)
-        self.plan.values = {**{k: v for k, v in self.trace.items()}, **frame.values}
+        caller = Frame(self, flow, arguments, "", None)
+        given = []
+        if self.experiment is not None:
+            has = F.col(self.experiment)
+            given = [(self.flag(F.coalesce((has["name"] == e.name) & (has["grp"] == g.name), F.lit(False))), e, g) for e in self.library.experiments for g in e.groups]
+        values = self.enter(name, arguments, "", None, caller, given, self.experiment is not None)
+        self.plan.values = {**{k: v for k, v in self.trace.items()}, **values}
         return self.plan
 
+    def treatments(self, flow: str, caller: Frame, given: list) -> tuple[list, Column | None]:
+        """(condition, experiment, group) of a flow's executions: the caller's treatment, or, without one, what the flow's experiments give."""
+        if not any(e.flow == flow for e in self.library.experiments):
+            return given, None
+        free = F.lit(True)
+        for test, _, _ in given:
+            free = free & ~test
+        value = lambda text: evaluate(parse_expression(text), Scope(_Lookup(caller), self.library.functions, self.library.methods, strict=True))
+        own = caller.arguments.get("@event_id") or Value(F.col("event_id"), TEXT)
+        found, failed = assignments(self.library.experiments, flow, value, own.col.cast("string"))
+        return given + [(self.flag(free & test), e, g) for test, e, g in found], None if failed is None else F.when(free, failed)
+
+    def enter(self, name: str, arguments: Mapping[str, Value], path: str, guard: Column | None, caller: Frame, given: list, assigned: bool = False) -> dict[str, Value]:
+        """Execute a flow, or what its events' treatments put in its place; the values of its variables.
+
+        If they are `assigned`, the given treatments are all there are.
+        """
+        plan, failed = (given, None) if assigned else self.treatments(name, caller, given)
+        if failed is not None:  # such events fail here
+            failed = self.keep(Value(failed if guard is None else F.when(guard, failed), TEXT), None).col
+            self.plan.faults.append((f"{path}/experiment" if path else "experiment", failed))
+            guard = self.flag(failed.isNull() if guard is None else guard & failed.isNull())
+        routes: dict[tuple, list[Column]] = {}
+        for test, _, g in plan:
+            for original, new, more in g.replacements:
+                if original == name:
+                    routes.setdefault((new, more), []).append(test)
+        if not routes:
+            return self.execute(self._flow(name), dict(arguments), path, guard, plan)
+        some, rest = [], F.lit(True) if guard is None else guard
+        for (new, more), tests in routes.items():
+            taken = tests[0]
+            for t in tests[1:]:
+                taken = taken | t
+            own = self.flag(taken if guard is None else guard & taken)
+            rest = rest & ~taken
+            extra = {f"@{k}": self.keep(evaluate(parse_expression(x), Scope(_Lookup(caller), self.library.functions, self.library.methods, strict=True)), own) for k, x in more}
+            some.append((own, self.execute(self._flow(new), {**arguments, **extra}, path, own, plan)))
+        own = self.flag(rest)
+        some.append((own, self.execute(self._flow(name), dict(arguments), path, own, plan)))
+        names = list(dict.fromkeys(k for _, values in some for k in values))
+        return {k: _switch([(g, values[k]) for g, values in some if k in values]) for k in names}
+
+    def execute(self, flow: Flow, arguments: dict[str, Value], path: str, guard: Column | None, plan: list) -> dict[str, Value]:
+        arguments["@"] = arguments.get("@") if not path else V.make_dict([(k[1:], v) for k, v in arguments.items() if len(k) > 1 and k != "@#"])
+        procedure = Procedure(guard, flow, path, arguments, plan)
+        self.plan.procedures.append(procedure)
+        frame = Frame(self, flow, arguments, path, guard, procedure=procedure)
+        frame.block(flow.block)
+        if path:
+            for name in list(frame.pending):
+                if "->" not in name:
+                    frame.define(frame.pending[name]) if name in frame.pending else None
+        for c in self.library.callbacks:
+            if c.register == flow.name:
+                frame.register(c)
+        return frame.values
+
     def _flow(self, name: str) -> Flow:
         if name not in self.library.flows:
             raise FlowError(f"no flow {name}")
@@ -189,8 +343,9 @@ def _eager(block) -> bool:
 class Frame:
     """One execution of a flow (or a block of it) under a guard."""
 
-    def __init__(self, planner: Planner, flow: Flow, arguments: Mapping[str, Value], scope: str, guard: Column | None, outer: Frame | None = None):
+    def __init__(self, planner: Planner, flow: Flow, arguments: Mapping[str, Value], scope: str, guard: Column | None, outer: Frame | None = None, procedure: Procedure | None = None):
         self.planner, self.flow, self.arguments, self.scope, self.guard, self.outer = planner, flow, arguments, scope, guard, outer
+        self.procedure = procedure if procedure is not None or outer is None else outer.procedure
         self.values: dict[str, Value] = {}
         self.pending: dict[str, object] = {}
 
@@ -209,7 +364,10 @@ class Frame:
         if name.startswith("@"):
             return self.arguments.get(name) or V.failure(VOID, V.MISSING)
         if name.startswith("$"):
-            return self.planner.trace.get(name) or V.failure(VOID, V.MISSING)
+            v = self.planner.trace.get(name) or V.failure(VOID, V.MISSING)
+            if self.procedure is not None and name in self.planner.trace:
+                self.procedure.loaded.setdefault(name, v)
+            return v
         raise FlowError(f"{self.flow.name}: unknown variable {name}")
 
     def value(self, node: Node) -> Value:
@@ -268,7 +426,7 @@ class Frame:
         if isinstance(s, (Assign, Composite)) and s.name.lstrip("$") in self.values:
             return
         if isinstance(s, Assign):
-            self.assign(s.name, self.evaluated(s.value), log=s.mode != "transient")
+            self.assign(s.name, self.evaluated(s.value), log=s.mode != "transient", read=s.value.references())
         elif isinstance(s, Composite):
             self.composite(s)
         elif isinstance(s, Branch):
@@ -278,7 +436,18 @@ class Frame:
         elif isinstance(s, Schedule):
             self.schedule(s)
 
-    def assign(self, name: str, value: Value, log: bool = True) -> None:
+    def _failed_before(self, names) -> list[tuple[str, Column]]:
+        """Variables among those that were read which can have failed."""
+        out = []
+        for n in sorted(names):
+            frame: Frame | None = self
+            while frame is not None and n not in frame.values:
+                frame = frame.outer
+            if frame is not None and frame.values[n].err is not None:
+                out.append((n, frame.values[n].err))
+        return out
+
+    def assign(self, name: str, value: Value, log: bool = True, read=()) -> None:
         plain = name.lstrip("$")
         kept = self.planner.keep(value, self.guard)
         self.values[plain] = kept
@@ -289,8 +458,12 @@ class Frame:
             else:
                 t = V.common([kept.type, before.type])
                 self.planner.trace[name] = self.planner.keep(Value(F.when(self.guard, V.cast_to(kept, t)).otherwise(V.cast_to(before, t)), t, _choose(self.guard, kept.err, before.err)), None)
+        if log and self.procedure is not None:
+            self.procedure.assigned.append((plain, kept))
         if kept.err is not None and log:
             self.planner.plan.faults.append((self._path(plain), kept.err))
+            if self.procedure is not None:
+                self.procedure.failed.append((plain, kept.err, self._failed_before(read)))
 
     def _path(self, name: str) -> str:
         return f"{self.scope}/{name}" if self.scope else name
@@ -308,8 +481,14 @@ class Frame:
         planner.plan.df, t = service.apply(planner.plan.df, args, out, self.guard)
         if isinstance(service, SinkService):
             planner.plan.messages.append((self.guard, service.message(args)))
-        self.values[s.name.lstrip("$")] = Value(F.col(out), t, F.col(f"{out}_err"))
-        planner.plan.faults.append((self._path(s.name), F.col(f"{out}_err")))
+        self.composed(s, Value(F.col(out), t, F.col(f"{out}_err")))
+
+    def composed(self, s: Composite, answer: Value) -> None:
+        self.values[s.name.lstrip("$")] = answer
+        self.planner.plan.faults.append((self._path(s.name), answer.err))
+        if self.procedure is not None:
+            self.procedure.composed.append((s.name, answer))
+            self.procedure.failed.append((s.name, answer.err, self._failed_before({r for _, n in s.arguments for r in n.references()})))
 
     def batch(self, s: Composite, service: Service) -> None:
         """Each dict of a list goes to the service; the answers come back in place, or the whole batch fails."""
@@ -334,8 +513,7 @@ class Frame:
         err = F.coalesce(docs.err, F.col(f"{out}_bad")) if docs.err is not None else F.col(f"{out}_bad")
         empty = F.when(docs.col.isNotNull() & (F.size(docs.col) == 0), F.array().cast(T.ArrayType(t)))
         planner.plan.df = joined.withColumn(out, F.coalesce(F.col(out), empty)).withColumn(f"{out}_err", err).drop(f"{out}_bad")
-        self.values[s.name.lstrip("$")] = Value(F.col(out), T.ArrayType(t), F.col(f"{out}_err"))
-        planner.plan.faults.append((self._path(s.name), F.col(f"{out}_err")))
+        self.composed(s, Value(F.col(out), T.ArrayType(t), F.col(f"{out}_err")))
 
     def _read(self, s: Composite) -> set[str]:
         """Columns that a batch's arguments may read besides the element."""
@@ -366,7 +544,7 @@ class Frame:
         blocks = []
         for c in s.choices:
             guard = planner.flag(F.coalesce(choice.isin(*(n for n, _ in c.conditions)), F.lit(False)))
-            frame = Frame(planner, self.flow, self.arguments, self.scope, guard, self)
+            frame = Frame(planner, self.flow, self.arguments, self.scope, guard, self)  # part of the same execution
             frame.block(c.block)
             blocks.append((guard, frame))
         for name in {n for c in s.choices for n in self._inside(c.block)}:
@@ -396,19 +574,25 @@ class Frame:
         planner.depth += 1
         if planner.depth > MOST_PROCEDURES:
             raise FlowError(f"more than {MOST_PROCEDURES} executions of flows; plan a recursive flow with `iterate`")
-        flow = planner._flow(s.flow)
         if "@event_id" in self.arguments:
             arguments.setdefault("@event_id", self.arguments["@event_id"])
-        arguments["@"] = V.make_dict([(k[1:], v) for k, v in arguments.items() if len(k) > 1 and k != "@#"])
-        planner.plan.procedures.append((guard, flow.name, path))
-        frame = Frame(planner, flow, arguments, path, guard)
-        frame.block(flow.block)
-        for name in list(frame.pending):
-            if "->" not in name:
-                frame.define(frame.pending[name]) if name in frame.pending else None
-        for name, v in frame.values.items():
+        given = self.procedure.plan if self.procedure is not None else []
+        for name, v in planner.enter(s.flow, arguments, path, guard, self, given).items():
             self.values[f"{s.scope}->{name}"] = v
 
+    def register(self, c) -> None:
+        """Save a token with its arguments, and schedule the timeout; a null token saves nothing."""
+        planner = self.planner
+        token = planner.keep(self.value(parse_expression(c.token)), self.guard)
+        waits = token.col.isNotNull() if token.err is None else token.err.isNull() & token.col.isNotNull()
+        guard = planner.flag(F.coalesce(waits if self.guard is None else self.guard & waits, F.lit(False)))
+        arguments = {f"@{k}": planner.keep(self.value(parse_expression(x)), guard) for k, x in c.arguments}
+        event = self._event(c.answer, c.late, arguments, c.timeout_ms, None, token)
+        planner.plan.scheduled.append((guard, event))
+        if self.procedure is not None:
+            self.procedure.scheduled.append((guard, c.late))
+        planner.plan.registered.append((guard, F.struct(token.col.cast("string").alias("token"), event["argument"].alias("argument"), F.lit(c.answer).alias("answer"), F.lit(c.late).alias("late"), F.lit(c.timeout_ms).cast("bigint").alias("timeout_ms"))))
+
     def _event(self, scope: str, flow: str, arguments: Mapping[str, Value], delay: int, trace: Value | None, token: Value | None) -> Column:
         own = [v.col.alias(k[1:]) for k, v in arguments.items() if k not in ("@", "@#")]
         return F.struct(
@@ -416,6 +600,7 @@ class Frame:
             (trace.col.cast("string") if trace is not None else F.lit(None).cast("string")).alias("trace"),
             (token.col.cast("string") if token is not None else F.lit(None).cast("string")).alias("token"),
             (F.to_json(F.struct(*own), {"ignoreNullFields": "false"}) if own else F.lit("{}")).alias("argument"),
+            _named(self.planner.treatments(flow, self, self.procedure.plan if self.procedure is not None else [])[0]).alias("experiment"),
         )
 
     def schedule(self, s: Schedule) -> None:
@@ -423,6 +608,8 @@ class Frame:
         trace = self.evaluated(s.trace) if s.trace else None
         token = self.evaluated(s.token) if s.token else None
         self.planner.plan.scheduled.append((self.guard, self._event(s.scope, s.flow, arguments, delay_ms(s.delay), trace, token)))
+        if self.procedure is not None:
+            self.procedure.scheduled.append((self.guard, s.flow))
 
 
 class _Lookup(Mapping):
@@ -473,9 +660,44 @@ def plan_flow(df: DataFrame, flow: str | Flow, library: Library | None = None, k
 
 
 def validate(library: Library) -> list[str]:
-    """What is wrong with the flows of a library: includes of flows that aren't there, names defined twice."""
+    """What is wrong with the flows of a library: flows that aren't there, names defined twice, references to nothing.
+
+    Configured experiments, callbacks and their expressions are looked at too.
+    """
     out = []
 
+    def names(block) -> set[str]:
+        own = set(_defined(block))
+        for s in block:
+            if isinstance(s, Branch):
+                own |= {n for c in s.choices for n in names(c.block)}
+            elif isinstance(s, Include):
+                own |= {f"{s.scope}->{n}" for n in exported(s.flow)}
+        return own
+
+    def exported(name: str) -> set[str]:
+        flow = library.flows.get(name)
+        return set() if flow is None else {n for n in _names_of(flow.block)}
+
+    def read(s) -> set[str]:
+        if isinstance(s, Assign):
+            return s.value.references()
+        if isinstance(s, Composite):
+            return {r for _, n in s.arguments for r in n.references()} | (s.over.references() if s.over is not None else set())
+        if isinstance(s, Branch):
+            return {r for c in s.choices for _, e in c.conditions for r in e.references()}
+        if isinstance(s, (Include, Schedule)):
+            more = [x for x in (s.token, getattr(s, "trace", None)) if x is not None]
+            return {r for _, e in s.arguments for r in e.references()}.union(*(e.references() for e in more))
+        return set()
+
+    def references(flow: Flow, block, known: set[str]) -> None:
+        for s in block:
+            out.extend(f"{flow.name}: unknown variable {r}" for r in sorted(read(s)) if r[:1] not in "@$" and r not in known)
+            if isinstance(s, Branch):
+                for c in s.choices:
+                    references(flow, c.block, known)
+
     def walk(flow: Flow, block) -> None:
         for name, own in _defined(block).items():
             if len(own) > 1:
@@ -489,4 +711,19 @@ def validate(library: Library) -> list[str]:
 
     for flow in library.flows.values():
         walk(flow, flow.block)
+        references(flow, flow.block, names(flow.block))
+    for e in library.experiments:
+        flows = {e.flow} | {x for g in e.groups for original, new, _ in g.replacements for x in (original, new)}
+        out += [f"{e.name}: no flow {f}" for f in sorted(flows - set(library.flows))]
+    for c in library.callbacks:
+        out += [f"callback of {c.register}: no flow {f}" for f in (c.register, c.answer, c.late) if f not in library.flows]
+        own = library.flows.get(c.register)
+        texts = [c.token, *(x for _, x in c.arguments)]
+        known = names(own.block) if own else set()
+        out += [f"callback of {c.register}: unknown variable {r}" for r in sorted({r for t in texts for r in parse_expression(t).references()}) if r[:1] not in "@$" and r not in known]
     return out
+
+
+def _names_of(block) -> set[str]:
+    """Plain names that a block and its branches define."""
+    return set(_defined(block)).union(*(_names_of(c.block) for s in block if isinstance(s, Branch) for c in s.choices))

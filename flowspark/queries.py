@@ -16,15 +16,15 @@ from pyspark.sql import functions as F
 from .functions.udfs import load, python_function, visible
 from .operators import values as V
 from .operators import views as W
-from .operators.choreography import Experiment, Group, Subscription, bucket, callbacks, reachable, subscribed, trace_id, with_plan
+from .operators.choreography import Callback, Experiment, FlowGraph, Group, Subscription, bucket, callbacks, drain, reachable, settled_events, subscribed, trace_id, traffic_ranges, with_plan
 from .operators.services import PythonService, RemoteService, SinkService, TableService
 from .operators.topics import Field, Topic, procedure_view, topic_log
 from .operators.trace import iterate, run_traces
 from .plans.compiler import compile_node, compiled, scope_of, select, variables_of
-from .plans.flow import Library, plan_flow
+from .plans.flow import Library, Planner, plan_flow
 from .plans.parser import parse_expression
 from .session import prepare, shared_folder
-from .sources.events import extracted, parsed, with_trace
+from .sources.events import SourceConfig, Sources, extracted, parsed, with_trace
 from .sources.sinks import to_messages
 
 QUERIES: dict = {}
@@ -548,13 +548,20 @@ SELECT event_id, CASE WHEN event_type = 'purchase' AND b < 60 THEN 'price' WHEN
  CASE WHEN event_type = 'purchase' AND b < 60 THEN CASE WHEN g1 < 50 THEN 'treat' ELSE 'control' END WHEN b < 90 THEN CASE WHEN g2 < 30 THEN 'a' ELSE 'b' END END AS grp,
  CASE WHEN event_type = 'purchase' AND b < 60 AND g1 < 50 THEN value * 0.5 WHEN NOT (event_type = 'purchase' AND b < 60) AND b < 90 AND g2 < 30 THEN value + 100 ELSE value END AS price FROM b""")
 def ab_experiment(spark, sf_dir):
-    experiments = [
-        Experiment("page", "/price", 2, (0, 90), (Group("a", (0, 30), (("/price", "/surcharge", (("extra", "100"),)),)), Group("b", (30, 100))), target="@event_type"),
-        Experiment("price", "/price", 1, (0, 60), (Group("treat", (0, 50), (("/price", "/discount", (("rate", "0.5"),)),)), Group("control", (50, 100))), condition='@event_type == "purchase"'),
-    ]
-    df = with_plan(table(spark, sf_dir, "events"), experiments, "/price")
-    routes = df.withColumn("route", F.coalesce("experiment.flow", F.lit("/price"))).withColumn("args", F.from_json("experiment.argument", "rate double, extra double"))
-    library = Library("""# /price
+    """The planner puts a treatment's flow in the place of the included one."""
+    p = plan_flow(table(spark, sf_dir, "events"), """# /entry
+***
+  <p> => /price?value=@value
+  price <- p->out
+***
+""", _priced())
+    named = p.procedure_log("event_id").where("flow_name <> '/entry'").select("event_id", "experiment.name", "experiment.grp")
+    return p.df.select("event_id", p.values["price"].col.alias("price")).join(named, "event_id").select("event_id", F.col("name").alias("experiment"), "grp", "price")
+
+
+def _priced() -> Library:
+    """Flows of prices with two experiments on the first of them."""
+    return Library("""# /price
 ***
   out <- @value
 ***
@@ -566,23 +573,31 @@ def ab_experiment(spark, sf_dir):
 ***
   out <- @value + @extra
 ***
-""")
-    p = plan_flow(routes, """# /entry
+""", experiments=[
+        Experiment("page", "/price", 2, (0, 90), (Group("a", (0, 30), (("/price", "/surcharge", (("extra", "100"),)),)), Group("b", (30, 100))), target="@event_type"),
+        Experiment("price", "/price", 1, (0, 60), (Group("treat", (0, 50), (("/price", "/discount", (("rate", "0.5"),)),)), Group("control", (50, 100))), condition='@event_type == "purchase"'),
+    ])
+
+
+@query(ORACLES["ab_experiment"])
+def experiment_schedule(spark, sf_dir):
+    """Scheduled events keep the treatment that their parent's event was given."""
+    p = plan_flow(table(spark, sf_dir, "events"), """# /entry
 ***
-  <> {
-    ? discount = @route == "/discount"
-    => { <d> => /discount?value=@value&rate=@args.rate 
-         price <- d->out }
-    ? surcharge = @route == "/surcharge"
-    => { <c> => /surcharge?value=@value&extra=@args.extra
-         price <- c->out }
-    ? plain = true
-    => { <p> => /price?value=@value
-         price <- p->out }
-  }
+  <p> + "1 hour" => /price?value=@value
 ***
-""", library)
-    return p.df.select("event_id", F.col("experiment.name").alias("experiment"), F.col("experiment.grp").alias("grp"), p.values["price"].col.alias("price"))
+""", _priced())
+    later = p.schedule("event_id").select("event_id", "flow_name", "experiment", F.from_json("argument", "value double").alias("a")).select("event_id", "experiment", "a.*")
+    done = Planner(_priced(), later, experiment="experiment").run("/price")
+    return done.df.select("event_id", F.col("experiment.name").alias("experiment"), F.col("experiment.grp").alias("grp"), done.values["out"].col.alias("price"))
+
+
+@query(f"""SELECT event_id, CASE WHEN {_bucket_sql('event_id::VARCHAR')} < 50 THEN CASE WHEN {_bucket_sql('event_id::VARCHAR', 'half')} < 40 THEN 'x' END END AS grp,
+ CASE WHEN {_bucket_sql('event_id::VARCHAR')} < 50 AND {_bucket_sql('event_id::VARCHAR', 'half')} >= 40 THEN '{V.MISSING}' END AS error FROM events""")
+def experiment_uncovered(spark, sf_dir):
+    """An event that an experiment takes, in a bucket that no group covers, fails."""
+    df = with_plan(table(spark, sf_dir, "events"), [Experiment("half", "/f", 1, (0, 50), (Group("x", (0, 40)),))], "/f")
+    return df.select("event_id", "experiment.grp", "experiment.error")
 
 
 # -- traces
@@ -653,6 +668,90 @@ def callback_join(spark, sf_dir):
     return callbacks(ev.where("event_type = 'view'"), ev.where("event_type = 'purchase'"), 86_400_000).select("event_id", "outcome", "settled_ts")
 
 
+@query("""WITH r AS (SELECT event_id, user_id, value, (epoch_us(ts) // 1000) AS t, lead((epoch_us(ts) // 1000)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS again FROM events WHERE event_type = 'view'),
+a AS (SELECT event_id, user_id, (epoch_us(ts) // 1000) AS t FROM events WHERE event_type = 'purchase'),
+h AS (SELECT r.event_id AS register, arg_min(a.event_id, (a.t, a.event_id)) AS hit, min(a.t) AS hit_t FROM r JOIN a ON a.user_id = r.user_id AND a.t > r.t GROUP BY r.event_id),
+j AS (SELECT r.*, CASE WHEN hit_t <= t + 86400000 AND (again IS NULL OR hit_t < again) THEN hit END AS won FROM r LEFT JOIN h ON h.register = r.event_id)
+SELECT a.event_id, j.value * 2 AS paid, CASE WHEN j.event_id IS NULL THEN 'MISSING' END AS failed FROM a LEFT JOIN j ON j.won = a.event_id
+UNION ALL SELECT event_id, value * -1, NULL FROM j WHERE won IS NULL""".replace("'MISSING'", f"'{V.ARGUMENT}'"))
+def callback_flow(spark, sf_dir):
+    """A flow registers a callback; the answer that loads its token gets the arguments, later ones fail, and timeouts run by themselves."""
+    ev = table(spark, sf_dir, "events").withColumn("ts", F.unix_millis(F.col("ts").cast("timestamp"))).withColumn("trace", F.col("user_id"))
+    library = Library("""# /paid
+***
+  out <- @#.seen * 2
+***
+""", """# /late
+***
+  out <- @token_context.seen * -1
+***
+""", callbacks=[Callback("/watch", '"pay"', "/paid", "/late", 86_400_000, (("seen", "seen"),))])
+    watch = plan_flow(ev.where("event_type = 'view'"), """# /watch
+***
+  seen <- @value
+***
+""", library)
+    registers = watch.registrations("event_id", "trace", "ts")
+    answers = ev.where("event_type = 'purchase'").withColumn("token", F.lit("pay"))
+    settled = callbacks(registers, answers, 86_400_000, keep=("argument",))
+    won, late = settled_events(settled, answers, "seen double")
+    context = V.of_column(F.col("token_context"), won.schema["token_context"].dataType)
+    paid = plan_flow(won, """# /answer
+***
+  <p> > @token => /paid
+  out <- p->out
+***
+""", library, trace={"@#": context})
+    missed = plan_flow(late, library.flows["/late"], library)
+    out = paid.values["out"]
+    return paid.df.select("event_id", F.when(out.err.isNull(), out.col).alias("paid"), out.err.alias("failed")).unionByName(missed.select("event_id", paid="out").withColumn("failed", F.lit(None).cast("string")))
+
+
+@query("""WITH RECURSIVE r(event_id, n, due, path) AS (SELECT event_id, event_id % 5, (epoch_us(ts) // 1000), 'start' FROM events UNION ALL SELECT event_id, n - 1, due + 60000, path || '/again' FROM r WHERE n > 0)
+SELECT event_id, due AS scheduled_ts, path, '{"left":' || n || '}' AS "values" FROM r""")
+def schedule_loop(spark, sf_dir):
+    """Scheduled events are run when they are due, and what they schedule after them, until nothing is left."""
+    ev = table(spark, sf_dir, "events").select("event_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("scheduled_ts"), F.lit("/again").alias("flow_name"), F.lit("start").alias("path"), F.to_json(F.struct((F.col("event_id") % 5).alias("n"))).alias("argument"))
+    library = Library("""# /again
+***
+  left <- @n
+  <> {
+    ? more = @n > 0
+    => { <again> + "1 minute" => /again?n=@n - 1 }
+  }
+***
+""")
+    done, waiting = drain(ev, library, 4_102_444_800_000, "n bigint", {"/again": {"left": "left"}}, keys=("event_id",))
+    return done.select("event_id", "scheduled_ts", "path", "values")
+
+
+@query(f"""SELECT event_id, 'odd' AS name, CASE WHEN event_id % 3 = 0 THEN '{V.ARITHMETIC}' END AS catalog, '{V.ARITHMETIC} in odd' AS message FROM events WHERE event_id % 3 = 0
+UNION ALL SELECT event_id, 'next', '{V.ARGUMENT}', 'failed before: odd' FROM events WHERE event_id % 3 = 0""")
+def flow_fault_detail(spark, sf_dir):
+    """Catalog and message of each fault; what fails for a failure before it names that."""
+    p = plan_flow(table(spark, sf_dir, "events"), """# /f
+***
+  odd <- 1 / (@event_id % 3)
+  next <- odd + 1
+  fine <- next !! 0
+***
+""")
+    return p.df.select("event_id", F.explode(p.fault_details()).alias("name", "f")).select("event_id", "name", "f.catalog", "f.message")
+
+
+@query(f"SELECT event_id, 'a' AS names FROM events WHERE event_id % 4 = 0")
+def dead_letter_rows(spark, sf_dir):
+    """Events to look at again: those with a failure of a class that isn't ignored."""
+    p = plan_flow(table(spark, sf_dir, "events"), """# /f
+***
+  a <- 1 / (@event_id % 4)
+  b <- @event_type + null
+***
+""")
+    ignored = (V.ARGUMENT,)
+    return p.dead_letters("event_id", ignored=ignored).select("event_id", F.array_join(F.sort_array(F.map_keys("fault")), ",").alias("names"))
+
+
 # -- analysis logs
 
 _JOURNEY = ("""# /enter
@@ -690,7 +789,7 @@ def _journey(spark, sf_dir) -> DataFrame:
     rows = p.procedure("event_id", "user_id", *(c for c in p.df.columns if c.startswith(("_v", "_g"))))
     values = {"/enter": {"level": "level"}, "/pay": {"fee": "pay->fee"}}
     texts = [F.when(F.col("flow_name") == flow, F.create_map(*(x for k, v in names.items() for x in (F.lit(k), p.values[v].col.cast("string"))))) for flow, names in values.items() if all(v in p.values for v in names.values())]
-    return rows.select("event_id", F.col("user_id").alias("trace_id"), F.filter(F.split("scope", "/"), lambda x: x != "").alias("scope"), "flow_name", "choice", F.coalesce(*texts, F.create_map().cast("map<string,string>")).alias("values"))
+    return rows.select("event_id", F.col("user_id").alias("trace_id"), F.filter(F.split("scope", "/"), lambda x: x != "").alias("scope"), "seq", "flow_name", "choice", F.coalesce(*texts, F.create_map().cast("map<string,string>")).alias("values"))
 
 
 @query("""SELECT event_id, 'pay' AS scope, true AS entered, 'high' AS entry_choice, round(value * 10)::BIGINT::VARCHAR AS fee, event_type = 'purchase' AS shipped, CASE WHEN event_type = 'purchase' THEN 'bought' ELSE '' END AS pay_choice FROM events WHERE value >= 30""")
@@ -702,6 +801,98 @@ def topic_log_fields(spark, sf_dir):
     return topic_log(_journey(spark, sf_dir), topic).select("event_id", "scope", "entered", "entry_choice", "fee", "shipped", "pay_choice")
 
 
+@query("""SELECT event_id, '' AS scope, '/enter' AS flow_name, '' AS assign, CASE WHEN value >= 30 THEN 'high' ELSE 'low' END AS choice, '' AS argument, '' AS fault, '' AS composite FROM events
+UNION ALL SELECT event_id, 'pay', '/pay', 'fee=' || round(value * 10)::BIGINT || ',near=' || CASE WHEN n_name IS NULL THEN 'null' ELSE n_name END, CASE WHEN event_type = 'purchase' THEN 'bought' ELSE '' END, 'kind=' || event_type, CASE WHEN event_id % 3 = 0 THEN 'bad=DIVISION' ELSE '' END, 'near=' || CASE WHEN n_name IS NULL THEN 'null' ELSE n_name END
+FROM events LEFT JOIN nation ON n_nationkey = user_id % 30 WHERE value >= 30""".replace("DIVISION", V.ARITHMETIC))
+def procedure_log_full(spark, sf_dir):
+    """Argument, assigned variables (where the flow's log is enabled), choices, service answers and faults of every execution."""
+    p = plan_flow(table(spark, sf_dir, "events"), """# /enter
+***
+  level <- @value >= 30
+  <> {
+    ? high = level
+    => { <pay> => /pay?value=@value&kind=@event_type&user=@user_id }
+    ? low = true
+    => { other <- 1 }
+  }
+***
+""", Library("""# /pay
+* log = "enabled"
+***
+  fee <- round(@value * 10)
+  near <- Nation(key=@user % 30)
+  bad <- 1 / (@event_id % 3)
+  <> {
+    ? bought = @kind == "purchase"
+    => { gift <- 1 }
+  }
+***
+""", services={"Nation": TableService(table(spark, sf_dir, "nation"), "n_nationkey", "n_name", "key", unique=True)}))
+    shown = lambda c, *names: F.array_join(F.transform(F.filter(F.array(*(F.struct(F.lit(n).alias("n"), F.try_element_at(c, F.lit(n)).alias("v")) for n in names)), lambda x: x["v"].isNotNull()), lambda x: F.concat_ws("=", x["n"], x["v"])), ",")
+    rows = p.procedure_log("event_id", *(c for c in p.df.columns if c.startswith(("_v", "_g"))))
+    near = shown("composite", "near")
+    fee = shown("assign", "fee")
+    return rows.select("event_id", "scope", "flow_name", F.concat_ws(",", *(F.when(x != "", x) for x in (fee, near))).alias("assign"), F.array_join("choice", ",").alias("choice"), shown("argument", "kind").alias("argument"), shown("fault", "bad").alias("fault"), near.alias("composite"))
+
+
+_VISIT = ("""# /visit
+***
+  <> {
+    ? buys = @event_type == "purchase"
+    => { <later> + "10 minutes" => /ship?x=@event_id }
+    ? looks = true
+    => { <now> => /look }
+  }
+***
+""", """# /ship
+***
+  cost <- @x + 1
+***
+""", """# /look
+***
+  seen <- 1
+***
+""")
+
+
+def _visits(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Procedures of visits and of the events they scheduled, as parts of the visit; and those scheduled events."""
+    ev = table(spark, sf_dir, "events").select("event_id", "event_type", F.unix_millis(F.col("ts").cast("timestamp")).alias("at"))
+    library = Library(*_VISIT)
+    none = F.create_map().cast("map<string,string>")
+    first = plan_flow(ev, library.flows["/visit"], library)
+    path = lambda *more: F.filter(F.split(F.concat_ws("/", *more, "scope"), "/"), lambda x: x != "").alias("scope")
+    rows = first.procedure("event_id", "at").select("event_id", "at", "seq", path(), "flow_name", "choice", none.alias("values"))
+    later = first.schedule("event_id", "at").select("event_id", F.col("scope").alias("path"), "flow_name", (F.col("at") + F.col("delay_ms")).alias("at"), F.from_json("argument", "x bigint").alias("a")).select("event_id", "path", "flow_name", "at", "a.*")
+    second = plan_flow(later, library.flows["/ship"], library)
+    cost = second.values["cost"]
+    more = second.procedure("event_id", "at", "path", *(c for c in second.df.columns if c.startswith("_v"))).select("event_id", "at", "seq", path("path"), "flow_name", "choice", F.create_map(F.lit("cost"), cost.col.cast("string")).alias("values"))
+    return rows.unionByName(more), later
+
+
+@query("SELECT event_id, '' AS scope, CASE WHEN event_type = 'purchase' THEN 'buys' ELSE 'looks' END AS choice, event_type = 'purchase' AS shipped, CASE WHEN event_type = 'purchase' THEN (event_id + 1)::VARCHAR END AS cost, event_type <> 'purchase' AS looked FROM events")
+def topic_log_two_events(spark, sf_dir):
+    """Fields from the events that the key flow's event scheduled."""
+    topic = Topic("visits", "/visit", (Field("choice", "choice", "/visit", False), Field("shipped", "tag", "/ship", False), Field("cost", "variable", "/ship", False), Field("looked", "tag", "/look", False)))
+    return topic_log(_visits(spark, sf_dir)[0], topic, order=("at", "seq")).select("event_id", "scope", "choice", "shipped", "cost", "looked")
+
+
+@query("SELECT event_id, false AS shipped FROM events WHERE event_type <> 'purchase' UNION ALL SELECT event_id, true FROM events WHERE event_type = 'purchase' AND event_id % 2 = 0")
+def topic_log_pending(spark, sf_dir):
+    """Rows whose fields a scheduled event can still fill are held back."""
+    procedures, later = _visits(spark, sf_dir)
+    pending = later.where("event_id % 2 = 1")
+    ran = procedures.join(pending.select("event_id", F.col("at").alias("at")), ["event_id", "at"], "left_anti")
+    topic = Topic("visits", "/visit", (Field("seen", "tag", "/visit", False), Field("shipped", "tag", "/ship", False)))
+    return topic_log(ran, topic, order=("at", "seq"), pending=pending, graph=FlowGraph.of(Library(*_VISIT))).select("event_id", "shipped")
+
+
+@query("SELECT event_id, count(*) AS n_procedures, max(seq)::BIGINT AS last FROM (SELECT event_id, 0 AS seq FROM events UNION ALL SELECT event_id, CASE WHEN value >= 30 THEN 1 ELSE 3 END FROM events UNION ALL SELECT event_id, 2 FROM events WHERE value >= 30 AND event_type = 'purchase') GROUP BY event_id")
+def procedure_count(spark, sf_dir):
+    """How many flows an event executed, and the place of the last one."""
+    return _journey(spark, sf_dir).groupBy("event_id").agg(F.count("*").alias("n_procedures"), F.max("seq").alias("last"))
+
+
 @query("""WITH p AS (SELECT event_id, '/' || user_id || '/' || event_id AS root, value >= 30 AS hi, event_type = 'purchase' AS buys FROM events)
 SELECT event_id, root AS id, NULL AS ancestor, root || CASE WHEN hi THEN '/pay' ELSE '/rest' END AS descendants FROM p
 UNION ALL SELECT event_id, root || '/pay', root, CASE WHEN buys THEN root || '/pay/ship' ELSE '' END FROM p WHERE hi
@@ -738,6 +929,29 @@ def extract_event(spark, sf_dir):
     return out.select("event_id", "k", "doubled", "trace_id")
 
 
+@query("""SELECT event_id, CASE WHEN (props->>'k')::BIGINT % 3 = 0 THEN '{"k":' || (props->>'k') || '}' ELSE '{"k":' || (props->>'k') || ',"rest":' || 12 // ((props->>'k')::BIGINT % 3) || '}' END AS argument FROM events""")
+def extract_fallback(spark, sf_dir):
+    """Where an expression fails, the document stays as it came."""
+    events, _ = parsed(table(spark, sf_dir, "events").withColumnRenamed("props", "raw"), "k bigint")
+    return extracted(events, {"k": "@k", "rest": "floor(12 / (@k % 3))"}).select("event_id", "argument")
+
+
+@query("SELECT range AS n, 'g' || (range % 2) AS grp, range * 2 AS twice FROM range(10)")
+def source_registry(spark, sf_dir):
+    """A configured source of a registered factory, read and run through the flow that its configuration names."""
+    sources = Sources()
+    sources.register("numbers", lambda s, p, stream: s.range(p["n"]).withColumnRenamed("id", "n"))
+    sources.configure(SourceConfig("ten", "numbers", "/double", {"n": 10}))
+    flows = Library("""# /double
+***
+  twice <- @n * 2
+  grp <- "g" + (@n % 2).to_string()
+***
+""")
+    config = sources.configs["ten"]
+    return plan_flow(sources.read(prepare(spark), "ten"), flows.flows[config.flow], flows).select("n", grp="grp", twice="twice")
+
+
 @query("SELECT event_id, event_id % 100 + 2 AS near, event_id % 100 + 3 AS far FROM events")
 def udf_python(spark, sf_dir):
     """Two functions of one name in nested directories: the nearer one wins."""
