@@ -668,6 +668,26 @@ def callback_join(spark, sf_dir):
     return callbacks(ev.where("event_type = 'view'"), ev.where("event_type = 'purchase'"), 86_400_000).select("event_id", "outcome", "settled_ts")
 
 
+@query("""WITH r AS (SELECT event_id, user_id, (epoch_us(ts) // 1000) AS t, lead((epoch_us(ts) // 1000)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS again FROM events WHERE event_type = 'view'),
+a AS (SELECT event_id, user_id, (epoch_us(ts) // 1000) AS t FROM events WHERE event_type = 'purchase'),
+j AS (SELECT r.*, (SELECT min(a.t) FROM a WHERE a.user_id = r.user_id AND a.t > r.t) AS hit FROM r),
+o AS (SELECT event_id, t, again, CASE WHEN hit <= t + 86400000 AND (again IS NULL OR hit < again) THEN hit END AS won FROM j)
+SELECT event_id, CASE WHEN won IS NULL THEN 'timeout' ELSE 'callback' END AS outcome, coalesce(won, t + 86400000) AS settled_ts FROM o
+WHERE won IS NOT NULL OR again IS NOT NULL OR t + 86400000 < (SELECT max(epoch_us(ts) // 1000) FROM events WHERE event_type IN ('view', 'purchase'))
+OR EXISTS (SELECT 1 FROM events e WHERE e.event_type = 'purchase' AND e.user_id = (SELECT user_id FROM r WHERE r.event_id = o.event_id) AND epoch_us(e.ts) // 1000 > o.t + 86400000)""")
+def callback_stream_settled(spark, sf_dir):
+    """The same over a stream: what answers, later registrations and the watermark have settled."""
+    from .streaming.callback import SCHEMA, callback_stream
+
+    schema = table(spark, sf_dir, "events").schema
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    rows = spark.readStream.schema(schema).parquet(f"{sf_dir}/event[s].parquet").where("event_type IN ('view', 'purchase')")
+    rows = rows.select(F.col("user_id").alias("trace"), F.lit("pay").alias("token"), "event_id", F.lit(None).cast("string").alias("argument"), F.col("ts").cast("timestamp").alias("time"), (F.col("event_type") == "purchase").cast("int").alias("kind"))
+    done = callback_stream(rows, 86_400_000).writeStream.format("parquet").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start(f"{folder}/out")
+    done.awaitTermination()
+    return spark.read.schema(SCHEMA).parquet(f"{folder}/out").select("event_id", "outcome", "settled_ts")
+
+
 @query("""WITH r AS (SELECT event_id, user_id, value, (epoch_us(ts) // 1000) AS t, lead((epoch_us(ts) // 1000)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS again FROM events WHERE event_type = 'view'),
 a AS (SELECT event_id, user_id, (epoch_us(ts) // 1000) AS t FROM events WHERE event_type = 'purchase'),
 h AS (SELECT r.event_id AS register, arg_min(a.event_id, (a.t, a.event_id)) AS hit, min(a.t) AS hit_t FROM r JOIN a ON a.user_id = r.user_id AND a.t > r.t GROUP BY r.event_id),

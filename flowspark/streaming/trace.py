@@ -4,7 +4,8 @@ Events of one trace meet in one task of a keyed stateful operator, are ordered b
 `order`, and run through the flow's interpreter one after the other.  The state is
 the trace's persisted variables as JSON; transient ones live only as long as the
 micro-batch that holds them.  Offsets, state and output commit together, so a
-restart repeats nothing.  `stateful` is the same in batch.
+restart repeats nothing.  `stateful` is the same in batch: sorted rows stream through
+a task, which holds one batch of them and the state of one trace, however long that is.
 """
 
 from __future__ import annotations
@@ -13,44 +14,67 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import StructType
 
+from ..operators.services import PythonService
 from ..plans.flow import Library
 from ..plans.interpret import Execution
 from ..plans.parser import parse_flow
 
+#: What a column of outputs takes instead of a variable: the events that were scheduled, as JSON.
+SCHEDULED = "+"
 
 
 def _plain(v):
     return None if v is None or v is pd.NaT or (isinstance(v, float) and v != v) else v.item() if hasattr(v, "item") else v
 
 
-def _runner(flow: str, library: Library | None, order: list[str], out: dict[str, str], keep: list[str]):
-    library = library or Library()
-    parsed = library.flows.get(parse_flow(flow).name) or library.add(flow)
-    flows = dict(library.flows)
+class _Runner:
+    """Runs the events of a trace in order: `start` with its persisted variables, then `one` for each event."""
 
-    def run(rows: pd.DataFrame, state: dict) -> tuple[pd.DataFrame, dict]:
-        """The outputs of a trace's events, and its persisted variables afterwards."""
-        memory, saved, result = dict(state), dict(state), []
-        for row in rows.sort_values(order, kind="stable").to_dict("records"):
-            done = Execution(parsed, {k: _plain(v) for k, v in row.items()}, memory, flows).run()
-            saved.update({k: memory[k] for k in done.updates})
-            result.append({**{k: row[k] for k in keep}, **{name: done.values.get(v) for name, v in out.items()}})
-        return pd.DataFrame(result, columns=[*keep, *out]), saved
+    def __init__(self, flow: str, library: Library | None, out: dict[str, str], keep: list[str]):
+        library = library or Library()
+        self.flow = library.flows.get(parse_flow(flow).name) or library.add(flow)
+        self.flows, self.out, self.keep = dict(library.flows), out, keep
+        self.services = {k: s.function for k, s in library.services.items() if isinstance(s, PythonService)}
+        self.start({})
 
-    return run
+    def start(self, state: dict) -> None:
+        self.memory, self.saved = dict(state), dict(state)
+
+    def one(self, row: dict) -> dict:
+        done = Execution(self.flow, {k: _plain(v) for k, v in row.items()}, self.memory, self.flows, services=self.services).run()
+        self.saved.update({k: self.memory[k] for k in done.updates})
+        values = {name: json.dumps(done.scheduled) if v == SCHEDULED else done.values.get(v) for name, v in self.out.items()}
+        return {**{k: row[k] for k in self.keep}, **values}
 
 
 def stateful(events: DataFrame, flow: str, trace: str, order: list[str], out: dict[str, str], schema: str, keep: list[str], library: Library | None = None) -> DataFrame:
     """Batch: every trace's events through the interpreter, in order.
 
-    For updates that no window expresses.  A trace is one group, as its events
-    depend on each other; only the columns that are named travel.
+    For updates that no window expresses.  One exchange on the trace brings its events
+    together, as they depend on each other; they needn't fit in memory.
     """
-    run = _runner(flow, library, order, out, keep)
-    return events.groupBy(trace).applyInPandas(lambda rows: run(rows, {})[0], schema)
+    runner, kind = _Runner(flow, library, out, keep), StructType.fromDDL(schema)
+    arrow, names = to_arrow_schema(kind), events.columns
+    at = names.index(trace)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current = first = object()
+        for batch in batches:
+            rows = []
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if current is first or row[at] != current:
+                    current = row[at]
+                    runner.start({})
+                rows.append(runner.one(dict(zip(names, row))))
+            yield pa.RecordBatch.from_pylist(rows, arrow)
+
+    return events.repartition(trace).sortWithinPartitions(trace, *order).mapInArrow(run, kind)
 
 
 def stream(events: DataFrame, flow: str, trace: str, order: list[str], out: dict[str, str], schema: str, keep: list[str], library: Library | None = None, idle_ms: int | None = None) -> DataFrame:
@@ -59,18 +83,19 @@ def stream(events: DataFrame, flow: str, trace: str, order: list[str], out: dict
     With `idle_ms` a trace that gets no event for so long is forgotten; Spark then
     keeps making micro-batches, so a stream that should end has none.
     """
-    run = _runner(flow, library, order, out, keep)
+    runner = _Runner(flow, library, out, keep)
 
     def handle(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
         before = json.loads(state.get[0]) if state.exists else {}
-        rows = pd.concat(list(batches))
-        result, after = run(rows, before)
-        state.update((json.dumps(after),))
+        runner.start(before)
+        rows = pd.concat(list(batches)).sort_values(order, kind="stable")
+        result = [runner.one(row) for row in rows.to_dict("records")]
+        state.update((json.dumps(runner.saved),))
         if idle_ms is not None:
             state.setTimeoutDuration(idle_ms)
-        yield result
+        yield pd.DataFrame(result, columns=[*keep, *out])
 
     return events.groupBy(trace).applyInPandasWithState(handle, schema, "variables string", "append", GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout)
