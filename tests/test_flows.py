@@ -1,23 +1,27 @@
 """Flows, traces and the operators between flows."""
 
+import json
 import random
+import time
 
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from flowspark.operators.choreography import Experiment, FlowGraph, Group, Subscription, bucket, callbacks, traffic_ranges, with_plan
-from flowspark.operators.services import PythonService, TableService
+from flowspark.operators.choreography import Callback, Experiment, FlowGraph, Group, Subscription, bucket, callbacks, reachable, traffic_ranges, with_plan
+from flowspark.operators.services import PythonService, RemoteService, TableService
 from flowspark.operators.topics import Field, Topic
 from flowspark.operators.trace import NoFold, recognise, run_traces
-from flowspark.plans.compiler import compiled
+from flowspark.operators.views import group_relation
+from flowspark.plans.compiler import compiled, select
 from flowspark.plans.flow import FlowError, Library, delay_ms, flow_id, plan_flow, validate
 from flowspark.plans.interpret import Execution, Failure, Interpreter
 from flowspark.plans.parser import parse_expression, parse_flow
 from flowspark.queries import remote_transport
-from flowspark.sources.events import Sources, SourceConfig, parsed
+from flowspark.sources.events import Reloading, Sources, SourceConfig, TimedOut, parsed, run_flow, with_event_id, within
 from flowspark.sources.sinks import to_all, to_files
+from flowspark.streaming.trace import SCHEDULED, stateful
 
 
 @pytest.fixture(scope="module")
@@ -202,3 +206,153 @@ def test_columns_equal_the_interpreter(spark, texts):
             assert row[f"e{k}"] is None, t
             got = row[f"v{k}"]
             assert got == want or (got is not None and want is not None and abs(got - want) < 1e-9 * max(1, abs(want))), (t, got, want)
+
+
+def test_distances_on_long_chains_and_cycles(spark):
+    chain = spark.range(1000).selectExpr("id AS source", "id + 1 AS target")
+    got = reachable(chain)
+    assert got.count() == 1000 * 1001 // 2 and got.where("hops <> target - source").count() == 0
+    full = [(a, b) for a in range(6) for b in range(6) if a != b] + [(7, 7), (None, 1), (0, 1)]
+    rows = {(r.source, r.target): r.hops for r in reachable(spark.createDataFrame(full, "source long, target long")).collect()}
+    assert rows == {(a, b): 1 if a != b else 2 for a in range(6) for b in range(6)} | {(7, 7): 1}
+    assert reachable(chain.where("false")).count() == 0
+
+
+def test_many_callbacks_of_one_token(spark):
+    n = 60_000
+    both = spark.range(n).selectExpr("'t' AS trace", "'k' AS token", "id * 10 AS ts", "id AS event_id")
+    began = time.monotonic()
+    rows = callbacks(both.where("event_id % 2 = 0"), both.where("event_id % 2 = 1"), 50)
+    assert rows.where("outcome = 'callback' AND settled_ts = ts + 10").count() == n // 2
+    assert time.monotonic() - began < 20
+
+
+def test_views_in_the_row_against_plain_python(spark):
+    rng = random.Random(8)
+    rows = [(k, [(rng.choice("abc"), rng.randint(0, 9), rng.choice([None, 1.5, 2.5])) for _ in range(rng.randint(0, 30))]) for k in range(40)]
+    df = spark.createDataFrame(rows, "k long, xs array<struct<g:string,n:long,d:double>>")
+    texts = {"groups": "[_.n <- @xs[/(_.g)]]", "by_number": "[_.length() <- @xs[/(_.n / 4)]]", "merged": "@xs[?(_.n > 4)].n + [0 - _.n <- @xs[?(_.n < 7)]]", "nested": '@xs[*]["g", "n"]\'', "empty": '@xs[?(_.n > 99)]["g"]'}
+    got = {r.k: r for r in select(df, ["k"], **texts).collect()}
+    for k, xs in rows:
+        want: dict = {}
+        for g, n, _ in xs:
+            want.setdefault(g, []).append(n)
+        sizes: dict = {}
+        for _, n, _ in xs:
+            sizes[int(n / 4)] = sizes.get(int(n / 4), 0) + 1
+        merged = {i: n for i, (_, n, _) in enumerate(xs) if n > 4} | {i: -n for i, (_, n, _) in enumerate(xs) if n < 7}
+        assert got[k].groups == want
+        assert got[k].by_number == [sizes[s] for s in sorted(sizes)]
+        assert got[k].merged == [merged[i] for i in sorted(merged)]
+        assert not xs or {c: [v.toPython() for v in vs] for c, vs in got[k].nested.items()} == {"g": [g for g, _, _ in xs], "n": [n for _, n, _ in xs]}
+
+
+def test_grouped_relations_keep_their_order(spark):
+    rows = spark.createDataFrame([(1, i, "a" if i % 2 else "b", 100 - i) for i in range(50)], "k long, i0 long, g string, v long").repartition(7)
+    got = {r.g: r.v for r in group_relation(rows, ["k"], "g").collect()}
+    assert got == {"a": [100 - i for i in range(1, 50, 2)], "b": [100 - i for i in range(0, 50, 2)]}
+
+
+def test_repeated_keys_multiply_nothing(spark, events):
+    table = spark.createDataFrame([(0, "x"), (0, "y"), (1, "z"), (None, "n")], "k bigint, name string")
+    p = plan_flow(events, flow("n <- Name(key=@kind)"), Library(services={"Name": TableService(table, "k", "name", "key")}))
+    assert sorted((r.event_id, r.n) for r in p.select("event_id", n="n").collect()) == [(i, {0: "x", 1: "z"}.get(i % 4)) for i in range(8)]
+
+
+def test_one_event_at_once(spark):
+    library = Library(flow("out <- 1 / @x", "/inner"))
+    done = run_flow(spark, flow("<s> => /inner?x=@n\n<t> + \"1 minute\" => /inner?x=2\na <- @n * 2", "/outer"), {"n": 0}, "n bigint", library)
+    assert len(done["event_id"]) == 24 and len(done["trace_id"]) == 32
+    assert [p["flow_name"] for p in done["procedures"]] == ["/outer", "/inner"] and done["procedures"][0]["assign"] == {"a": "0"} and done["procedures"][0]["schedule"] == ["/inner"]
+    assert done["fault"] == {"s/out": {"catalog": "ArithmeticException", "message": "ArithmeticException in out"}}
+    assert [(s["flow_name"], s["delay_ms"]) for s in done["scheduled"]] == [("/inner", 60_000)]
+
+
+def test_ids_of_events_are_distinct_and_stay(spark):
+    rows = with_event_id(spark.range(0, 5000, 1, 8))
+    first = sorted(r.event_id for r in rows.collect())
+    assert len(set(first)) == 5000 and all(len(x) == 24 for x in first) and first == sorted(r.event_id for r in rows.collect())
+
+
+def test_jobs_end_in_time(spark):
+    slow = F.udf(lambda x: (time.sleep(3), x)[1], "long")
+    with pytest.raises(TimedOut):
+        within(spark.range(8).select(slow("id")), 1.0)
+    assert len(within(spark.range(3), 30.0)) == 3
+
+
+def test_libraries_are_read_again(tmp_path):
+    (tmp_path / "a.flow").write_text(flow("x <- 1", "/a"))
+    watched = Reloading(str(tmp_path))
+    assert set(watched.current().flows) == {"/a"}
+    (tmp_path / "b.flow").write_text(flow("x <- y", "/b"))
+    assert set(watched.current().flows) == {"/a"} and watched.problems == ["/b: unknown variable y"]
+    (tmp_path / "b.flow").write_text(flow("y <- 2\nx <- y", "/b"))
+    assert set(watched.current().flows) == {"/a", "/b"} and watched.problems == []
+
+
+def test_configurations_are_checked():
+    library = Library(
+        flow("s -> 1\n<i> => /b\nx <- i->out\nz <- i->none", "/a").replace("s -> 1", "s <- 1"), flow("out <- 1", "/b"),
+        experiments=[Experiment("e", "/a", 1, (0, 10), (Group("g", (0, 100), (("/a", "/gone", ()),)),))], callbacks=[Callback("/a", "nothing", "/b", "/lost", 10, (("v", "x"),))],
+    )
+    assert validate(library) == ["/a: unknown variable i->none", "e: no flow /gone", "callback of /a: no flow /lost", "callback of /a: unknown variable nothing"]
+    e = Experiment("e", "/f", 1, (0, 10), (Group("g", (0, 100), (("/f", "/g", (("n", "@a + b"),)),)),), condition="@c > 1", target="@d")
+    assert e.dependencies() == {"@a", "b", "@c", "@d"}
+
+
+def test_remote_answers_as_documents(spark, events):
+    class Gone(Exception):
+        code = 410
+
+    calls = []
+
+    def transport(method, url, body):
+        if url.endswith("1"):
+            raise Gone
+        return '{"n": 7}' if url.endswith("2") else "no json"
+
+    service = RemoteService("get http://s/${k}", transport, retries=0, json=True)
+    p = plan_flow(events.where("event_id < 4"), flow("a <- Call(k=@kind)\nn <- a.n.to_long()"), Library(services={"Call": service}))
+    rows = p.df.select("event_id", p.fault().alias("f"), p.values["n"].col.alias("n")).orderBy("event_id").collect()
+    assert rows[2].n == 7 and rows[2].f == {} and rows[1].f["a"] == "Gone" and rows[0].f["a"] == "ValueError"
+
+    def failing(x):
+        calls.append(x)
+        raise Gone
+
+    from flowspark.operators.services import _called
+    import pandas as pd
+
+    assert _called(failing, ["x"], pd.DataFrame({"x": [1]}), 3, 0.0, 1, (410,)) == ([None], ["Gone"]) and len(calls) == 1
+
+
+def test_services_and_schedules_in_traces(spark):
+    rows = spark.createDataFrame([(i, "ab"[i % 2], i) for i in range(20)], "event_id bigint, trace string, x bigint")
+    library = Library(services={"Twice": PythonService(lambda v: v * 2, "bigint")})
+    text = flow('t <- Twice(v=@x)\n<> {\n ? big = t > 20\n => { $n <- $n + 1 !! 1\n <later> + "2 minutes" => /f?x=@x - 10 }\n}\nseen <- $n !! 0')
+    got = {r.event_id: (r.seen, json.loads(r.later)) for r in stateful(rows, text, "trace", ["event_id"], {"seen": "seen", "later": SCHEDULED}, "event_id bigint, seen bigint, later string", ["event_id"], library).collect()}
+    count = {"a": 0, "b": 0}
+    for i in range(20):
+        count["ab"[i % 2]] += 2 * i > 20
+        assert got[i][0] == count["ab"[i % 2]]
+        assert [s["argument"] for s in got[i][1]] == ([{"x": i - 10}] if 2 * i > 20 else [])
+
+
+def test_a_trace_needn_t_fit_in_memory(spark):
+    rows = spark.range(30_000).selectExpr("id AS event_id", "'t' AS trace")
+    got = stateful(rows, flow("<> {\n ? yes = true\n => { $n <- $n + 1 !! 1 }\n}\nseen <- $n"), "trace", ["event_id"], {"seen": "seen"}, "event_id bigint, seen bigint", ["event_id"])
+    assert got.where("seen = event_id + 1").count() == 30_000
+
+
+def test_experiments_that_fail_or_cover_nothing(spark):
+    df = spark.createDataFrame([(i, i % 3) for i in range(60)], "event_id bigint, x bigint")
+    e = Experiment("e", "/f", 1, (0, 100), (Group("g", (0, 50)),), condition="6 / @x > 4")
+    rows = with_plan(df, [e], "/f").withColumn("b", bucket(F.col("event_id").cast("string"), suffix="e")).collect()
+    for r in rows:
+        want = "ArithmeticException" if r.x == 0 else None if r.x == 2 else None if r.b < 50 else "UninitializedFieldError"
+        assert (r.experiment.error if r.experiment else None) == want
+        assert (r.experiment.grp if r.experiment else None) == ("g" if r.x == 1 and r.b < 50 else None)
+    p = plan_flow(df, flow("out <- 1"), Library(experiments=[e]))
+    faults = {r.event_id: r.f for r in p.df.select("event_id", p.fault().alias("f")).collect()}
+    assert all(("experiment" in faults[r.event_id]) == (r.experiment is not None and r.experiment.error is not None) for r in rows)
