@@ -16,7 +16,9 @@ cosine above it can't come from letters at random, however few rows were labelle
 
 Defined results: a null text, or one without a letter, is `und` with score 0;
 ties go to the first language by name; with no labelled text at all everything
-is `und`.  Repeated rows count as often as they occur; other columns are ignored.
+is `und`.  Repeated rows count as often as they occur; a row with a null id is judged
+but trains nothing; other columns are ignored; an empty table gives an empty one.
+Texts of any length are counted whole, in blocks of BLOCK code points and whole texts.
 """
 
 from __future__ import annotations
@@ -252,5 +254,5 @@ def held_out(key: Column) -> Column:
 def identify(docs: DataFrame) -> DataFrame:
     """The contract's columns for `documents`."""
     held = F.coalesce(held_out(F.col("doc_id")), F.lit(False))
-    prototypes = train(docs.where(~held))
+    prototypes = train(docs.where(~held_out(F.col("doc_id"))))  # not from rows without an id
     return classify(docs, prototypes).select("doc_id", held.alias("held_out"), "lang_pred", "score")

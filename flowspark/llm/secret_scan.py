@@ -9,7 +9,8 @@ secret is reported only if a complementary part (an identifier or an endpoint)
 is in its scope; an endpoint only if it then completes a credential.
 
 Defined results: a null text has no spans; ties at one start are ordered by the
-order of KINDS; repeated rows are scanned one by one; other columns are ignored.
+order of KINDS; repeated rows are scanned one by one; other columns are ignored; an
+empty table gives an empty one.
 Texts of any length are scanned whole, in time linear in their length.
 """
 

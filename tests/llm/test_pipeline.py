@@ -1,5 +1,6 @@
 """The pipeline, stage by stage, against plain Python."""
 
+import collections
 import hashlib
 import random
 
@@ -51,6 +52,49 @@ def test_language_stage_rejects_by_cosine(spark):
     assert corpus_pipeline.language_id(spark, unlabelled, SF).count() == n + len(noise) - 1
 
 
+def _odd(spark):
+    """The documents' columns and names that stages use themselves; nulls, empty and long texts, repeats, rows without ids."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars").limit(0)
+    base = spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").limit(123).collect()
+    *base, alone, apart, _ = base
+    rows = [(r.doc_id, r.text, r.lang, r.source, r.n_chars) for r in base]
+    rows += [rows[5], rows[5], (rows[6][0], apart.text, "en", "s", 1), (None, alone.text, None, None, None), (None, rows[8][1], "en", "s", 5)]
+    rows += [(9001, None, "en", "s", None), (9002, "", None, "s", 0), (9003, "12 34 ...", "en", None, 9), (9004, "call 555-123-4567 or mail ann@example.com " + " ".join(r[1] for r in rows[20:80] if r[1]) * 3, "en", "s", None)]
+    wide = spark.createDataFrame(rows, docs.schema)
+    for name in ("digest", "c0", "k0", "mix", "stratum", "lang_pred", "class", "id", "_mix"):
+        wide = wide.withColumn(name, F.lit(name))
+    return wide
+
+
+def test_stages_on_odd_rows(spark):
+    docs = _odd(spark).cache()
+    given = docs
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, given, SF).cache()
+        if name == "encoding":
+            assert out.count() == given.count()
+            break
+        assert out.columns == docs.columns
+        assert out.select("digest", "c0", "_mix").distinct().collect() == [("digest", "c0", "_mix")]
+        texts = [r.text for r in out.collect()]
+        if name == "language_id":
+            assert None not in texts and "" not in texts and "12 34 ..." not in texts and len(texts) == docs.count() - 3
+        if name == "near_dedup":
+            assert len(set(texts)) == len(texts) and {i for i, n in collections.Counter(r.doc_id for r in out.collect()).items() if n > 1} <= {None, docs.collect()[6].doc_id}
+        if name == "private_data":
+            [long] = [t for t in texts if t.startswith("call <LOCAL_PHONE> or mail <EMAIL> ")]
+            assert len(long) > 50_000
+        given = out
+
+
+def test_stages_on_an_empty_table(spark):
+    given = _odd(spark).where("false")
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, given, SF)
+        assert out.count() == 0 and (name == "encoding" or out.columns == given.columns)
+        given = out
+
+
 def test_every_operator_has_a_query():
     names = {n.split("_")[0] for n in queries()}
     assert names == {f"op{n}" for n in range(1, 11)}

@@ -328,6 +328,34 @@ def test_language_blocks_agree_with_the_plain_sum():
         assert np.array_equal(v, want) and h == any(codes)
 
 
+def test_language_prediction_against_plain_sums(spark):
+    rng = random.Random(14)
+    words = {"b": ["haus", "und", "nicht", "über"], "a": ["house", "and", "not", "over"], "c": ["maison", "et", "pas", "été"]}
+    rows = [(i, " ".join(rng.choice(words[lang]) for _ in range(rng.randint(1, 12))), lang) for i in range(120) for lang in [rng.choice("abc")]]
+    docs = spark.createDataFrame([*rows, (500, "haus " * 40_000, None), (501, None, "a"), (None, "maison et pas", "c")], "doc_id bigint, text string, lang string")
+
+    def vector(text):
+        codes = [ord(c.lower()) if c.isalpha() else 0 for c in f" {text} "]
+        codes = [c for k, c in enumerate(codes) if c or k == 0 or codes[k - 1]]
+        return sum((np.roll(langid.letter(a), 2).astype(float) * np.roll(langid.letter(b), 1) * langid.letter(c) for a, b, c in zip(codes, codes[1:], codes[2:]) if a or b or c), np.zeros(langid.DIMENSIONS))
+
+    got = {r.doc_id: r for r in langid.identify(docs).collect()}
+    sums = {k: sum(vector(t) for i, t, lang in rows if lang == k and not got[i].held_out) for k in "abc"}
+    unit = {k: v / np.linalg.norm(v) for k, v in sums.items()}
+    mean = sum(unit.values()) / 3
+    for i, t, _ in rows:
+        v = vector(t)
+        cosine = {k: (u - mean) @ v / np.linalg.norm(u - mean) / np.linalg.norm(v) for k, u in unit.items()}
+        best = max(cosine, key=cosine.get)
+        assert got[i].lang_pred == best and abs(got[i].score - max(0, min(1, cosine[best]))) < 1e-5
+    assert got[500].lang_pred == "b" and got[501].lang_pred == "und" and got[None].lang_pred == "c" and not got[None].held_out
+
+
+def test_language_ties_go_to_the_first_name(spark):
+    docs = spark.createDataFrame([(k, "same words here", lang) for k, lang in enumerate(["z", "m", "z", "m"])], "doc_id bigint, text string, lang string")
+    assert {r.lang_pred for r in langid.classify(docs, langid.train(docs)).collect()} == {"m"}
+
+
 def test_simhash_neighbours_and_search(spark, monkeypatch):
     monkeypatch.setattr(simhash, "BUCKET_ROWS", 3)
     texts = ["", "one two three four five six", "one two three four five sixty", None, "ü" * 9, "x y z " * 900, "x y z " * 900, "tail end"]
