@@ -37,7 +37,7 @@ from .common import map_batches
 
 #: Words whose ids a worker keeps, and ids of them; nodes of the trie and pairs of tokens that
 #: it keeps.  These bound memory, not results.
-KEPT_WORDS, KEPT_IDS, KEPT_NODES, KEPT_PAIRS = 250_000, 4_000_000, 350_000, 300_000
+KEPT_WORDS, KEPT_IDS, KEPT_NODES, KEPT_PAIRS = 180_000, 3_000_000, 250_000, 150_000
 #: Longer words, and nodes of longer prefixes, aren't kept.
 LONGEST_KEPT = DEEPEST = 64
 #: Code points handled at once; longer batches are split between texts.
@@ -87,6 +87,7 @@ class Vocabulary:
         self.spines: tuple[dict, dict] = ({}, {})
         known: dict[int, bool] = {}
         self.whole = {t: i for t, i in self.ids.items() if self._is_whole(i, known)}
+        self.spines = ({}, {})  # few of all tokens are needed again
 
     def spine(self, token: int, right: int) -> list[tuple[int, float]]:
         """Tokens on the border of `token` while it is being made, each with the rank of the merge that ends it."""

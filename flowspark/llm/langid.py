@@ -35,7 +35,7 @@ from .common import map_batches, prepare
 #: Dimensions of the vectors, and the seed of the letters' vectors.
 DIMENSIONS, SEED = 1024, 20240601
 #: 3-gram vectors that a worker keeps (bytes: this times DIMENSIONS).
-KEPT_GRAMS = 40_000
+KEPT_GRAMS = 24_000
 UNKNOWN = "und"
 #: Share of the labelled rows that a cutoff leaves out of account, and its share of the cosine that the others reach.
 LOSS, SLACK = 0.001, 0.5
@@ -44,7 +44,9 @@ NOISE = 4 / DIMENSIONS**0.5
 #: Classes of length: below 32 code points, 128, 512, 2048, and the rest.
 LENGTHS = 5
 #: Code points handled at once; longer batches are split between texts.
-BLOCK = 1_000_000
+BLOCK = 500_000
+#: 3-grams whose vectors are multiplied at once.
+SOME = 4096
 
 
 @lru_cache(maxsize=20_000)
@@ -137,9 +139,9 @@ def bundles(texts: list[str | None]):
             has[low + i] = bool(t) and bool(table[np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)].any())
         if not len(distinct):
             continue
-        for first in range(0, len(distinct), 8192):  # bounds the dense matrix
-            some = (gram >= first) & (gram < first + 8192)
-            vectors = grams().vectors(distinct[first : first + 8192]).astype(np.float32)
+        for first in range(0, len(distinct), SOME):  # bounds the dense matrix
+            some = (gram >= first) & (gram < first + SOME)
+            vectors = grams().vectors(distinct[first : first + SOME]).astype(np.float32)
             for doc in range(0, len(part), 256):
                 mine = some & (text >= doc) & (text < doc + 256)
                 if mine.any():
@@ -166,8 +168,8 @@ def train(docs: DataFrame, lang: str = "lang", text: str = "text") -> dict[str,
                 for name in dict.fromkeys(names[low:high]):
                     mine = np.array([n == name for n in names[low:high]])[doc] if len(doc) else np.zeros(0, bool)
                     total = np.bincount(gram[mine], counts[mine], len(distinct)) if len(distinct) else np.zeros(0)
-                    for first in range(0, len(distinct), 8192):
-                        part = total[first : first + 8192].astype(np.float32) @ grams().vectors(distinct[first : first + 8192]).astype(np.float32)
+                    for first in range(0, len(distinct), SOME):
+                        part = total[first : first + SOME].astype(np.float32) @ grams().vectors(distinct[first : first + SOME]).astype(np.float32)
                         sums[name] = sums.get(name, 0) + part.astype(np.float64)
         if sums:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array([v.tolist() for v in sums.values()], pa.list_(pa.float64()))], ["name", "vector"])

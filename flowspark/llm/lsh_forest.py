@@ -54,7 +54,7 @@ TREES, DEPTH, WINDOW, SKETCH = 20, 8, 2, 32
 #: The chance of each of the three filters to drop a pair at the limit.
 MISSED = 1e-6
 #: Members whose shingles judge what is rare in a region, about; members that one task takes the prefixes of.
-SAMPLE, CHUNK = 16, 512
+SAMPLE, CHUNK = 16, 64
 #: Documents of a block in the exact comparison.
 BLOCK = 64
 KEPT_WORDS = 300_000
