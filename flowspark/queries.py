@@ -25,7 +25,7 @@ from .plans.flow import Library, Planner, plan_flow
 from .plans.parser import parse_expression
 from .session import prepare, shared_folder
 from .sources.events import SourceConfig, Sources, extracted, parsed, with_trace
-from .sources.sinks import to_messages
+from .sources.sinks import instance_log, to_messages, topic_messages
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -347,9 +347,12 @@ def fn_concat(spark, sf_dir):
     return select(order_docs(spark, sf_dir), ["l_orderkey"], both_='mk_string(concat(@items.l_partkey, @items.l_suppkey), ",")', one="concat(@items.l_partkey, 1).length()")
 
 
-@query()
+@query("SELECT count(*) AS n, count(*) AS n_distinct, count(*) AS n_formed FROM events")
 def fn_uuid(spark, sf_dir):
-    return select(table(spark, sf_dir, "events"), ["event_id"], id="uuid()")
+    """Random names can't be compared; that there is one of the right form for every event, and no two are equal, can."""
+    ids = select(table(spark, sf_dir, "events"), ["event_id"], id="uuid()")
+    formed = F.col("id").rlike("^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$|^[0-9a-f]{32}$")
+    return ids.agg(F.count("id").alias("n"), F.count_distinct("id").alias("n_distinct"), F.count_if(formed).alias("n_formed"))
 
 
 # -- statements
@@ -907,6 +910,33 @@ def topic_log_pending(spark, sf_dir):
     return topic_log(ran, topic, order=("at", "seq"), pending=pending, graph=FlowGraph.of(Library(*_VISIT))).select("event_id", "shipped")
 
 
+@query("""SELECT event_id::VARCHAR AS key, '{"event_id":' || event_id || ',"procedure":[{"scope":"","flow":"/enter","choice":["' || CASE WHEN value >= 30 THEN 'high' ELSE 'low' END || '"]},' ||
+CASE WHEN value >= 30 THEN '{"scope":"pay","flow":"/pay","choice":[' || CASE WHEN event_type = 'purchase' THEN '"bought"' ELSE '' END || ']}' || CASE WHEN event_type = 'purchase' THEN ',{"scope":"pay/ship","flow":"/ship","choice":[]}' ELSE '' END ELSE '{"scope":"rest","flow":"/rest","choice":[]}' END || ']}' AS value FROM events""")
+def instance_messages(spark, sf_dir):
+    """Executions of an event as one JSON message."""
+    p = plan_flow(table(spark, sf_dir, "events").select("event_id", "event_type", "value"), _JOURNEY[0], Library(*_JOURNEY[1:]))
+    document = F.from_json("value", "event_id bigint, procedure array<struct<scope:string,flow_name:string,choice:array<string>>>")
+    rows = instance_log(p).select("key", document.alias("d"))
+    short = F.struct("d.event_id", F.transform("d.procedure", lambda x: F.struct(x["scope"].alias("scope"), x["flow_name"].alias("flow"), x["choice"].alias("choice"))).alias("procedure"))
+    return rows.select("key", F.to_json(short).alias("value"))
+
+
+@query("SELECT 'visits' AS topic, event_id::VARCHAR AS key, '{\"event_id\":' || event_id || ',\"shipped\":' || CASE WHEN event_type = 'purchase' THEN 'true' ELSE 'false' END || '}' AS value FROM events")
+def topic_log_messages(spark, sf_dir):
+    topic = Topic("visits", "/visit", (Field("seen", "tag", "/visit", False), Field("shipped", "tag", "/ship", False)))
+    return topic_messages(topic_log(_visits(spark, sf_dir)[0], topic, order=("at", "seq")).select("event_id", "shipped"), "visits")
+
+
+@query(f"SELECT event_id, CASE WHEN {_bucket_sql('event_id::VARCHAR')} < 20 THEN 'a' WHEN {_bucket_sql('event_id::VARCHAR')} < 55 THEN 'b' END AS part FROM events")
+def traffic_split(spark, sf_dir):
+    """Shares of traffic one after the other, as ranges of buckets."""
+    own = bucket(F.col("event_id").cast("string"))
+    part = F.lit(None).cast("string")
+    for name, (low, high) in zip("ab", traffic_ranges([20, 35])):
+        part = F.when((own >= low) & (own < high), name).otherwise(part)
+    return table(spark, sf_dir, "events").select("event_id", part.alias("part"))
+
+
 @query("SELECT event_id, count(*) AS n_procedures, max(seq)::BIGINT AS last FROM (SELECT event_id, 0 AS seq FROM events UNION ALL SELECT event_id, CASE WHEN value >= 30 THEN 1 ELSE 3 END FROM events UNION ALL SELECT event_id, 2 FROM events WHERE value >= 30 AND event_type = 'purchase') GROUP BY event_id")
 def procedure_count(spark, sf_dir):
     """How many flows an event executed, and the place of the last one."""

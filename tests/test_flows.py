@@ -21,7 +21,7 @@ from flowspark.plans.parser import parse_expression, parse_flow
 from flowspark.queries import remote_transport
 from flowspark.sources.events import Reloading, Sources, SourceConfig, TimedOut, parsed, run_flow, with_event_id, within
 from flowspark.sources.sinks import to_all, to_files
-from flowspark.streaming.trace import SCHEDULED, stateful
+from flowspark.streaming.trace import SCHEDULED, stateful, stream
 
 
 @pytest.fixture(scope="module")
@@ -356,3 +356,44 @@ def test_experiments_that_fail_or_cover_nothing(spark):
     p = plan_flow(df, flow("out <- 1"), Library(experiments=[e]))
     faults = {r.event_id: r.f for r in p.df.select("event_id", p.fault().alias("f")).collect()}
     assert all(("experiment" in faults[r.event_id]) == (r.experiment is not None and r.experiment.error is not None) for r in rows)
+
+
+def _write(spark, folder, rows):
+    spark.createDataFrame(rows, "event_id bigint, trace string").coalesce(1).write.mode("append").parquet(folder)
+
+
+COUNT = "$n <- $n + 1 !! 1\nseen <- n"
+
+
+def test_a_restarted_stream_keeps_its_state(spark, tmp_path):
+    text, source, out = flow(COUNT), f"{tmp_path}/in", f"{tmp_path}/out"
+    for part in range(2):
+        _write(spark, source, [(10 * part + i, "ab"[i % 2]) for i in range(4)])
+        rows = spark.readStream.schema("event_id bigint, trace string").parquet(source)
+        done = stream(rows, text, "trace", ["event_id"], {"seen": "seen"}, "event_id bigint, seen bigint", ["event_id"])
+        done.writeStream.format("parquet").option("checkpointLocation", f"{tmp_path}/checkpoint").trigger(availableNow=True).start(out).awaitTermination()
+    assert {r.event_id: r.seen for r in spark.read.parquet(out).collect()} == {0: 1, 1: 1, 2: 2, 3: 2, 10: 3, 11: 3, 12: 4, 13: 4}
+
+
+def test_idle_traces_are_forgotten(spark, tmp_path):
+    text, source = flow(COUNT), f"{tmp_path}/in"
+    _write(spark, source, [(0, "a")])
+    rows = spark.readStream.schema("event_id bigint, trace string").parquet(source)
+    done = stream(rows, text, "trace", ["event_id"], {"seen": "seen"}, "event_id bigint, seen bigint", ["event_id"], idle_ms=1000)
+    running = done.writeStream.format("memory").queryName("idle").option("checkpointLocation", f"{tmp_path}/checkpoint").trigger(processingTime="500 milliseconds").start()
+
+    def seen(i):
+        for _ in range(120):
+            got = [r.seen for r in spark.sql("SELECT * FROM idle").collect() if r.event_id == i]
+            if got:
+                return got[0]
+            time.sleep(0.25)
+        raise TimeoutError
+
+    try:
+        assert seen(0) == 1
+        time.sleep(6)
+        _write(spark, source, [(1, "a")])
+        assert seen(1) == 1
+    finally:
+        running.stop()
