@@ -37,7 +37,7 @@ from .common import map_batches
 
 #: Words whose ids a worker keeps, and ids of them; nodes of the trie and pairs of tokens that
 #: it keeps.  These bound memory, not results.
-KEPT_WORDS, KEPT_IDS, KEPT_NODES, KEPT_PAIRS = 180_000, 3_000_000, 250_000, 150_000
+KEPT_WORDS, KEPT_IDS, KEPT_NODES, KEPT_PAIRS = 130_000, 2_000_000, 170_000, 120_000
 #: Longer words, and nodes of longer prefixes, aren't kept.
 LONGEST_KEPT = DEEPEST = 64
 #: Code points handled at once; longer batches are split between texts.

@@ -63,6 +63,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the broadcasts and shuffles of plans that are done: its cleaner follows the driver's garbage collection."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def shared_file(spark: SparkSession, content: bytes, name: str) -> str:
     """Write bytes to a file of the shared folder and hand it to all executors; its name there, for SparkFiles.get."""
     name = f"{name}-{uuid.uuid4().hex}"

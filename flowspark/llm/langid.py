@@ -35,7 +35,7 @@ from .common import map_batches, prepare
 #: Dimensions of the vectors, and the seed of the letters' vectors.
 DIMENSIONS, SEED = 1024, 20240601
 #: 3-gram vectors that a worker keeps (bytes: this times DIMENSIONS).
-KEPT_GRAMS = 24_000
+KEPT_GRAMS = 16_000
 UNKNOWN = "und"
 #: Share of the labelled rows that a cutoff leaves out of account, and its share of the cosine that the others reach.
 LOSS, SLACK = 0.001, 0.5
@@ -44,9 +44,9 @@ NOISE = 4 / DIMENSIONS**0.5
 #: Classes of length: below 32 code points, 128, 512, 2048, and the rest.
 LENGTHS = 5
 #: Code points handled at once; longer batches are split between texts.
-BLOCK = 500_000
+BLOCK = 250_000
 #: 3-grams whose vectors are multiplied at once.
-SOME = 4096
+SOME = 2048
 
 
 @lru_cache(maxsize=20_000)

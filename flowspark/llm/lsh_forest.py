@@ -47,7 +47,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import MapType, VariantType
 
-from .common import map_batches, prepare, stored
+from .common import map_batches, prepare, release, stored
 
 #: Sorted orders, values of a label, successors compared, values of the sketch.
 TREES, DEPTH, WINDOW, SKETCH = 20, 8, 2, 32
@@ -234,6 +234,7 @@ def components(edges: DataFrame) -> DataFrame:
             where = stored(where.join(step, "component", "left").select("id", F.coalesce("up", "component").alias("component")), "where")
     if where is None:
         where = edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
+    release(edges.sparkSession)
     return where
 
 
