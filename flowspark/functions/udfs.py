@@ -66,3 +66,14 @@ def visible(functions: dict[str, dict[str, Callable[..., Value]]], flow: str) ->
     return out
 
 
+
+
+def merged(*layers: dict[str, Callable[..., Value]]) -> dict[str, Callable[..., Value]]:
+    """Functions of several origins by name, a later one in the place of an earlier one: files first, then extensions.
+
+    The built-in ones come last of all: the compiler prefers them to any of these.
+    """
+    out: dict[str, Callable[..., Value]] = {}
+    for layer in layers:
+        out |= layer
+    return out

@@ -113,11 +113,11 @@ def _logic(op: str, a: Value, b: Value) -> Value:
 
 
 def _call(name: str, own: Mapping, built_in: Mapping, values: list[Value], nodes) -> Value:
-    f = own.get(name) or built_in.get(name)
+    f = built_in.get(name) or own.get(name)  # a user's function replaces no built-in one
     if f is None:
         return V.failure(V.TEXT, "NotImplementedError").with_err(either(*(v.err for v in values)))
     more = {}
-    if own.get(name) is None:
+    if name in built_in:
         if name == "sort_by_key":
             more = {"name": constant(nodes[1])}
         elif name == "at_or_else":

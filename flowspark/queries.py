@@ -13,7 +13,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.udfs import load, python_function, visible
+from .functions.udfs import load, merged, python_function, visible
 from .operators import values as V
 from .operators import views as W
 from .operators.choreography import Callback, Experiment, FlowGraph, Group, Subscription, bucket, callbacks, drain, reachable, settled_events, subscribed, trace_id, traffic_ranges, with_plan
@@ -893,6 +893,15 @@ def _visits(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     return rows.unionByName(more), later
 
 
+@query("""WITH p AS (SELECT event_id, '/' || event_id || '/' || event_id AS root, event_type = 'purchase' AS buys FROM events)
+SELECT event_id, root AS id, NULL AS ancestor, root || CASE WHEN buys THEN '/later' ELSE '/now' END AS descendants FROM p
+UNION ALL SELECT event_id, root || CASE WHEN buys THEN '/later' ELSE '/now' END, root, '' FROM p""")
+def procedure_view_scheduled(spark, sf_dir):
+    """Scheduled executions are children of the one that scheduled them."""
+    rows = _visits(spark, sf_dir)[0].withColumn("trace_id", F.col("event_id"))
+    return procedure_view(rows).select("event_id", "id", "ancestor", F.array_join("descendants", ",").alias("descendants"))
+
+
 @query("SELECT event_id, '' AS scope, CASE WHEN event_type = 'purchase' THEN 'buys' ELSE 'looks' END AS choice, event_type = 'purchase' AS shipped, CASE WHEN event_type = 'purchase' THEN (event_id + 1)::VARCHAR END AS cost, event_type <> 'purchase' AS looked FROM events")
 def topic_log_two_events(spark, sf_dir):
     """Fields from the events that the key flow's event scheduled."""
@@ -979,6 +988,44 @@ def extract_event(spark, sf_dir):
     return out.select("event_id", "k", "doubled", "trace_id")
 
 
+@query("SELECT event_id, round(value)::BIGINT AS built_in, event_id + 2 AS extension, event_id + 3 AS file FROM events")
+def udf_merge_order(spark, sf_dir):
+    """Functions from files, extensions over them, and built-in ones over both."""
+    plus = lambda k: lambda v: V.arithmetic("+", v, V.literal(k))
+    functions = merged({"round": plus(1), "near": plus(1), "far": plus(3)}, {"near": plus(2)})
+    df = table(spark, sf_dir, "events")
+    out = {"built_in": "round(@value)", "extension": "near(@event_id)", "file": "far(@event_id)"}
+    return df.select("event_id", *(compiled(df, text, functions=functions).col.alias(name) for name, text in out.items()))
+
+
+@query("SELECT event_id, 2 AS y, '' AS choice, CASE WHEN event_id % 5 = 0 THEN 7 ELSE NULL END AS z, CASE WHEN event_id % 5 = 0 THEN 'used' ELSE '' END AS used FROM events")
+def flow_skipped_branch(spark, sf_dir):
+    """A branch of lazy variables runs only if something eager reads them; transient ones are no faults."""
+    events = table(spark, sf_dir, "events")
+    skipped = plan_flow(events, """# /f
+***
+  <> {
+    ? any = @value >= 0
+    => { x <~ 1 / 0 }
+  }
+  hidden <~~ 1 / 0
+  y <- hidden !! 2
+***
+""")
+    used = plan_flow(events, """# /g
+***
+  <> {
+    ? used = @event_id % 5 == 0
+    => { x <~ 7 }
+  }
+  z <- x
+***
+""")
+    left = skipped.df.select("event_id", skipped.values["y"].col.alias("y"), F.concat(F.array_join(skipped.choice(), ","), F.array_join(F.map_keys(F.map_filter(skipped.fault(), lambda k, _: k != "y")), ",")).alias("choice"))
+    right = used.df.select("event_id", used.values["z"].col.alias("z"), F.array_join(used.choice(), ",").alias("used"))
+    return left.join(right, "event_id")
+
+
 @query("""SELECT event_id, CASE WHEN (props->>'k')::BIGINT % 3 = 0 THEN '{"k":' || (props->>'k') || '}' ELSE '{"k":' || (props->>'k') || ',"rest":' || 12 // ((props->>'k')::BIGINT % 3) || '}' END AS argument FROM events""")
 def extract_fallback(spark, sf_dir):
     """Where an expression fails, the document stays as it came."""

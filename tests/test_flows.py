@@ -397,3 +397,15 @@ def test_idle_traces_are_forgotten(spark, tmp_path):
         assert seen(1) == 1
     finally:
         running.stop()
+
+
+def test_a_source_gives_no_more_than_it_is_permitted(spark, tmp_path):
+    for i in range(3):
+        spark.range(i, i + 1).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    sources, sizes = Sources(), []
+    sources.configure(SourceConfig("f", "files", "/f", {"schema": "id long", "path": f"{tmp_path}/in", "permits": 1}))
+    handle = lambda rows, c: rows.writeStream.foreachBatch(lambda df, _: sizes.append(df.count())).option("checkpointLocation", f"{tmp_path}/checkpoint").trigger(availableNow=True).start()
+    sources.start(spark, "f", handle).awaitTermination()
+    assert [n for n in sizes if n] == [1, 1, 1]
+    sources.stop()
+    assert sources.running == {}
