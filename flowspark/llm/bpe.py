@@ -35,9 +35,9 @@ from pyspark.sql import DataFrame
 
 from .common import map_batches
 
-#: Words whose ids a worker keeps, and ids of them; nodes of the trie and pairs of tokens that
-#: it keeps.  These bound memory, not results.
-KEPT_WORDS, KEPT_IDS, KEPT_NODES, KEPT_PAIRS = 130_000, 2_000_000, 170_000, 120_000
+#: Words whose ids a task keeps, and ids of them; nodes of the trie that it keeps, and pairs of
+#: tokens that its worker does.  These bound memory, not results.
+KEPT_WORDS, KEPT_IDS, KEPT_NODES, KEPT_PAIRS = 220_000, 3_000_000, 300_000, 120_000
 #: Longer words, and nodes of longer prefixes, aren't kept.
 LONGEST_KEPT = DEEPEST = 64
 #: Code points handled at once; longer batches are split between texts.
@@ -327,17 +327,11 @@ class Encoder:
         return " ".join(map(self.vocab.table.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-@lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
-
-
 def encode_decode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", tokens: bool = False) -> DataFrame:
     """`key`, n_tokens, ids_sha256 and decoded_sha256 of every text; with `tokens` also ids and decoded."""
     kind = docs.schema[key].dataType.simpleString()
 
-    def run(batch):
-        tool = encoder(path)
+    def run(batch, tool):
         coded = tool.encode_batch(batch.column(1).to_pylist())
         decoded = [tool.decode(x) for x in coded]
         out = {
@@ -348,4 +342,4 @@ def encode_decode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "
         return out | ({"ids": [np.frombuffer(x, "<u4").tolist() for x in coded], "decoded": decoded} if tokens else {})
 
     schema = f"`{key}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<bigint>, decoded string" * tokens
-    return map_batches(docs.select(key, text), run, schema)
+    return map_batches(docs.select(key, text), run, schema, start=lambda: Encoder(path))

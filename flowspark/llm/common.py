@@ -83,10 +83,12 @@ def shared_file(spark: SparkSession, content: bytes, name: str) -> str:
     return name
 
 
-def map_batches(df: DataFrame, function, schema: str) -> DataFrame:
+def map_batches(df: DataFrame, function, schema: str, start=None) -> DataFrame:
     """mapInArrow with a function from one record batch to columns by name.
 
-    `function(batch)` returns a dict of lists or arrays in the order of `schema`.
+    `function(batch)` returns a dict of lists or arrays in the order of `schema`.  With
+    `start`, what it makes for each task is the function's second argument, and goes
+    when the task ends.
     """
     prepare(df.sparkSession)
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -96,9 +98,10 @@ def map_batches(df: DataFrame, function, schema: str) -> DataFrame:
     arrow = to_arrow_schema(parsed)
 
     def run(batches):
+        own = () if start is None else (start(),)
         for batch in batches:
             if batch.num_rows:
-                out = function(batch)
+                out = function(batch, *own)
                 columns = [out[f.name] if isinstance(out[f.name], (pa.Array, pa.ChunkedArray)) else pa.array(out[f.name], f.type) for f in arrow]
                 yield pa.RecordBatch.from_arrays(columns, schema=arrow)
 
