@@ -998,7 +998,7 @@ def udf_merge_order(spark, sf_dir):
     return df.select("event_id", *(compiled(df, text, functions=functions).col.alias(name) for name, text in out.items()))
 
 
-@query("SELECT event_id, 2 AS y, '' AS choice, CASE WHEN event_id % 5 = 0 THEN 7 ELSE NULL END AS z, CASE WHEN event_id % 5 = 0 THEN 'used' ELSE '' END AS used FROM events")
+@query("SELECT event_id, 2.0::DOUBLE AS y, '' AS choice, CASE WHEN event_id % 5 = 0 THEN 7 ELSE NULL END AS z, CASE WHEN event_id % 5 = 0 THEN 'used' ELSE '' END AS used FROM events")
 def flow_skipped_branch(spark, sf_dir):
     """A branch of lazy variables runs only if something eager reads them; transient ones are no faults."""
     events = table(spark, sf_dir, "events")
