@@ -170,6 +170,11 @@ class Plan:
         fault = self.fault()
         return self.df.select(*keep, F.map_filter(fault, lambda _, e: ~e.isin(*ignored) if ignored else F.lit(True)).alias("fault")).where(F.size("fault") > 0)
 
+    def treatment(self, scope: str = "") -> Column:
+        """struct<name, grp>: the experiment's treatment that the execution at a scope has."""
+        own = [F.when(p.guard, _named(p.plan)) if p.guard is not None else _named(p.plan) for p in self.procedures if p.scope == scope]
+        return F.coalesce(*own) if own else _named([])
+
     def registrations(self, *keep: str) -> DataFrame:
         """Tokens that wait for a callback: token, argument (JSON), answer, late and timeout_ms."""
         return self._rows(self.registered, keep)

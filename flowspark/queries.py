@@ -558,8 +558,8 @@ def ab_experiment(spark, sf_dir):
   price <- p->out
 ***
 """, _priced())
-    named = p.procedure_log("event_id").where("flow_name <> '/entry'").select("event_id", "experiment.name", "experiment.grp")
-    return p.df.select("event_id", p.values["price"].col.alias("price")).join(named, "event_id").select("event_id", F.col("name").alias("experiment"), "grp", "price")
+    own = p.treatment("p")
+    return p.df.select("event_id", own["name"].alias("experiment"), own["grp"].alias("grp"), p.values["price"].col.alias("price"))
 
 
 def _priced() -> Library:
